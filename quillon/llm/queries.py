@@ -5,9 +5,10 @@ Each query is thin: it applies one operator, with production parameters, to its
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import exact_dedup, url_filter
+from quillon.llm import exact_dedup, packing, sentence_pieces, token_counts, url_filter
 from quillon.llm.common import table
 
 
@@ -23,6 +24,15 @@ from d join g on d.text = g.text
 """
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_counts.pieces_of(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), pieces)
+
+
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.outcomes(table(spark, sf_dir, "labels")))
 
@@ -71,5 +81,15 @@ select page_id, host, path, {_rules_sql(1)} as rule,
 from p left join r using (host)
 """
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup, "op9_url_filter": op9_url_filter}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {
+    "op4_exact_dedup": op4_exact_dedup,
+    "op7_token_counts": op7_token_counts,
+    "op8_sentence_pieces": op8_sentence_pieces,
+    "op9_url_filter": op9_url_filter,
+    "op10_packing": op10_packing,
+}
 SQL = {"op4_exact_dedup": OP4_SQL, "op9_url_filter": OP9_SQL}
