@@ -8,10 +8,33 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import exact_dedup, packing, sentence_pieces, token_counts, url_filter
+from quillon.llm import exact_dedup, lattice_dedup, packing, sentence_pieces, token_counts, toxicity, url_filter
 from quillon.llm.common import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and list_bool_and([x is not null and isfinite(x) for x in embedding])
+    and list_bool_or([x <> 0 for x in embedding])),
+u as (select vec_id, e, sqrt(list_dot_product(e, e)) as norm from v),
+links as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+reach(id, other) as (select vec_id, vec_id from embeddings
+  union select r.id, l.b from reach r join links l on r.other = l.a)
+select id as vec_id, (select count(*) from links l where l.a = id) as n_links, min(other) as component_id, id = min(other) as kept
+from reach group by id
+"""
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -86,10 +109,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op3_lattice_dedup": op3_lattice_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_url_filter": op9_url_filter,
     "op10_packing": op10_packing,
 }
-SQL = {"op4_exact_dedup": OP4_SQL, "op9_url_filter": OP9_SQL}
+SQL = {"op3_lattice_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op9_url_filter": OP9_SQL}
