@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import exact_dedup, lattice_dedup, packing, sentence_pieces, token_counts, toxicity, url_filter
+from quillon.llm import exact_dedup, lattice_dedup, packing, pii, sentence_pieces, token_counts, toxicity, url_filter
 from quillon.llm.common import table
 
 
@@ -47,6 +47,10 @@ from d join g on d.text = g.text
 """
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_counts.pieces_of(public_tokenizers.path("piece_bpe_32k.model"))
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), pieces)
@@ -112,6 +116,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_lattice_dedup": op3_lattice_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_pii": op5_pii,
     "op7_token_counts": op7_token_counts,
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_url_filter": op9_url_filter,
