@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import exact_dedup, lattice_dedup, packing, pii, sentence_pieces, token_counts, toxicity, url_filter
+from quillon.llm import exact_dedup, lattice_dedup, packing, pii, sentence_pieces, substring_dedup, token_counts, toxicity, url_filter
 from quillon.llm.common import table
 
 
@@ -51,6 +51,27 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = """
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents),
+p as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as i from w),
+win as (select doc_id, unnest(range(1, len(words) - 18)) as i, words from w where len(words) >= 20),
+keyed as (select doc_id, i, md5(array_to_string(words[i:i + 19], ' ')) as k from win),
+later as (select doc_id, i from (select doc_id, i, row_number() over (partition by k order by doc_id, i) as r from keyed) x where r > 1),
+marks as (select doc_id, i, 1 as d from later union all select doc_id, i + 20, -1 from later),
+sums as (select doc_id, i, sum(d) as d from marks group by doc_id, i),
+cover as (select p.doc_id, p.i, p.word, coalesce(sum(s.d) over (partition by p.doc_id order by p.i), 0) > 0 as gone
+  from p left join sums s on p.doc_id = s.doc_id and p.i = s.i),
+kept as (select doc_id, count(*) as n_words, count(*) filter (where gone) as n_removed,
+  string_agg(word, ' ' order by i) filter (where not gone) as text from cover group by doc_id)
+select d.doc_id, coalesce(n_words, 0) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
+from documents d left join kept k on d.doc_id = k.doc_id
+"""
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_counts.pieces_of(public_tokenizers.path("piece_bpe_32k.model"))
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), pieces)
@@ -117,9 +138,10 @@ QUERIES = {
     "op3_lattice_dedup": op3_lattice_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_pii": op5_pii,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_sentence_pieces": op8_sentence_pieces,
     "op9_url_filter": op9_url_filter,
     "op10_packing": op10_packing,
 }
-SQL = {"op3_lattice_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op9_url_filter": OP9_SQL}
+SQL = {"op3_lattice_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op9_url_filter": OP9_SQL}
