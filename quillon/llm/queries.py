@@ -8,10 +8,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import exact_dedup, lattice_dedup, packing, pii, sentence_pieces, substring_dedup, token_counts, toxicity, url_filter
+from quillon.llm import exact_dedup, lattice_dedup, near_dedup, packing, pii, sentence_pieces, substring_dedup, token_counts, toxicity, url_filter
 from quillon.llm.common import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -134,6 +138,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_lattice_dedup": op3_lattice_dedup,
     "op4_exact_dedup": op4_exact_dedup,
