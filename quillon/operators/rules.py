@@ -19,7 +19,10 @@ from quillon.operators import prose
 #: Findings of one rule that a report holds.
 MOST = 10
 R = P.RULES
-NONE = F.lit(None).cast("long")
+
+
+def none() -> Column:
+    return F.lit(None).cast("long")
 
 
 def _span(c: Column) -> Column:
@@ -58,7 +61,7 @@ def _sections(docs: DataFrame) -> DataFrame:
 
 
 def _document(rows: DataFrame, paragraph: Column, span: Column, message: str) -> DataFrame:
-    return _located(rows, [F.lit(0)], paragraph, NONE, span, message)
+    return _located(rows, [F.lit(0)], paragraph, none(), span, message)
 
 
 def opening_problem_present(docs: DataFrame) -> DataFrame:
@@ -72,7 +75,7 @@ def opening_not_method_first(docs: DataFrame) -> DataFrame:
 
 
 def challenge_present(docs: DataFrame) -> DataFrame:
-    return _document(_sections(docs).where("challenge is null"), NONE, F.lit(""), "No concrete challenge paragraph was detected.")
+    return _document(_sections(docs).where("challenge is null"), none(), F.lit(""), "No concrete challenge paragraph was detected.")
 
 
 def objective_only_challenge(docs: DataFrame) -> DataFrame:
@@ -121,13 +124,13 @@ def overloaded_sentence(docs: DataFrame) -> DataFrame:
     rows = prose.sentences(docs).withColumn("w", T.tokens(F.col("sent"))).withColumn("c", F.length("sent") - F.length(F.replace("sent", F.lit(","))))
     rows = rows.where("w > 45 or c >= 4")
     said = F.format_string("A sentence runs %d words / %d commas; split it so each sentence does one job.", F.col("w"), F.col("c"))
-    return _located(rows, [-F.col("w"), -F.col("c"), F.col("pi"), F.col("si")], F.col("pi") + 1, NONE, F.col("sent"), said)
+    return _located(rows, [-F.col("w"), -F.col("c"), F.col("pi"), F.col("si")], F.col("pi") + 1, none(), F.col("sent"), said)
 
 
 def number_ladder(docs: DataFrame) -> DataFrame:
     rows = prose.paragraphs(docs).withColumn("c", T.count(F.col("para"), R["statistic"])).where("c >= 6")
     said = F.format_string("Paragraph packs %d inline statistics; move the ladder to a table and keep only the interpretation in prose.", F.col("c"))
-    return _located(rows, [-F.col("c"), F.col("pi")], F.col("pi") + 1, NONE, F.col("para"), said)
+    return _located(rows, [-F.col("c"), F.col("pi")], F.col("pi") + 1, none(), F.col("para"), said)
 
 
 def _first_of_each(rows: DataFrame, message: str | Column, span: Column) -> DataFrame:
@@ -193,7 +196,7 @@ def rule(docs: DataFrame, name: str) -> DataFrame:
     severity, _, relation = TEXT_RULES[name]
     rows = relation(docs)
     if name in DENSITY_MESSAGES:
-        return rows.select("doc_id", "severity", NONE.alias("paragraph"), NONE.alias("sentence"), F.lit("").alias("span"), F.lit(1).cast("long").alias("place"), F.when(F.col("severity") == "medium", DENSITY_MESSAGES[name][0]).otherwise(DENSITY_MESSAGES[name][1]).alias("message"))
+        return rows.select("doc_id", "severity", none().alias("paragraph"), none().alias("sentence"), F.lit("").alias("span"), F.lit(1).cast("long").alias("place"), F.when(F.col("severity") == "medium", DENSITY_MESSAGES[name][0]).otherwise(DENSITY_MESSAGES[name][1]).alias("message"))
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("sub")).cast("long")).where(F.col("place") <= MOST)
     return rows.select("doc_id", F.lit(severity).alias("severity"), "paragraph", "sentence", "span", "place", "message")
 
@@ -211,15 +214,15 @@ def _each(matches: Column, i: int, most: int) -> Column:
 def _in_sentences(docs: DataFrame, order: dict[str, int]) -> DataFrame:
     """Findings of all rules that look at one sentence at a time: one scan, one explode of sentences."""
     sent, pi, si = F.col("sent"), F.col("pi"), F.col("si")
-    none = F.array().cast("array<struct<i:int,sub:array<bigint>,paragraph:bigint,sentence:bigint,span:string>>")
+    nothing = F.array().cast("array<struct<i:int,sub:array<bigint>,paragraph:bigint,sentence:bigint,span:string>>")
     found = []
     for name, pattern, most in SENTENCE_MATCHES:
         found.append(_each(T.every(sent, R[pattern]), order[name], most))
     for name, pattern, but in SENTENCE_WHOLE:
         fits = T.has(sent, R[pattern]) & (~T.has(sent, R[but]) if but else F.lit(True))
-        found.append(F.when(fits, F.array(_struct(order[name], [pi, si], pi + 1, si + 1, sent))).otherwise(none))
+        found.append(F.when(fits, F.array(_struct(order[name], [pi, si], pi + 1, si + 1, sent))).otherwise(nothing))
     w, c = T.tokens(sent), F.length(sent) - F.length(F.replace(sent, F.lit(",")))
-    found.append(F.when((w > 45) | (c >= 4), F.array(_struct(order["overloaded_sentence"], [-w, -c, pi, si], pi + 1, NONE, sent))).otherwise(none))
+    found.append(F.when((w > 45) | (c >= 4), F.array(_struct(order["overloaded_sentence"], [-w, -c, pi, si], pi + 1, none(), sent))).otherwise(nothing))
     return prose.sentences(docs).select("doc_id", F.inline(F.concat(*found)))
 
 
@@ -234,16 +237,16 @@ def _in_sections(docs: DataFrame, order: dict[str, int]) -> DataFrame:
     cases = {
         "opening_problem_present": (problem == 0, F.lit(1), opening),
         "opening_not_method_first": (method > problem, F.lit(1), opening),
-        "challenge_present": (F.col("challenge").isNull(), NONE, F.lit("")),
+        "challenge_present": (F.col("challenge").isNull(), none(), F.lit("")),
         "objective_only_challenge": (only, F.col("challenge") + 1, said),
         "weak_resolution": (T.has(resolution, R["weak_end"]), n, resolution),
         "caveat_closing": ((n > 0) & T.has(closing, R["hedge_close"]), n, closing),
     }
-    found = [F.when(fits, _struct(order[name], [], paragraph, NONE, span)) for name, (fits, paragraph, span) in cases.items()]
+    found = [F.when(fits, _struct(order[name], [], paragraph, none(), span)) for name, (fits, paragraph, span) in cases.items()]
     # a density's span says its severity until the end
-    found += [F.when(rate[name] > low, _struct(order[name], [], NONE, NONE, F.when(rate[name] > high, "medium").otherwise("low"))) for name, _, high, low in DENSITIES]
+    found += [F.when(rate[name] > low, _struct(order[name], [], none(), none(), F.when(rate[name] > high, "medium").otherwise("low"))) for name, _, high, low in DENSITIES]
     ladder = F.transform("paras", lambda p, i: F.struct(i.alias("i"), T.count(p, R["statistic"]).alias("c"), p.alias("p")))
-    ladders = F.transform(F.filter(ladder, lambda x: x["c"] >= 6), lambda x: _struct(order["number_ladder"], [-x["c"], x["i"]], x["i"] + 1, NONE, x["p"]))
+    ladders = F.transform(F.filter(ladder, lambda x: x["c"] >= 6), lambda x: _struct(order["number_ladder"], [-x["c"], x["i"]], x["i"] + 1, none(), x["p"]))
     return prose.sections(docs).select("doc_id", F.inline(F.concat(F.filter(F.array(*found), lambda x: x.isNotNull()), ladders)))
 
 

@@ -189,8 +189,7 @@ _rule(
     f"select doc_id, at_, at_ // 1000000000 + 1 as paragraph, at_ % 1000000000 // 100000 + 1 as sentence, word || coalesce(' → ' || {_plain}, '') as span from w where {_plain} is not null or (not regexp_matches(word, '(?:tion|sion|ment|ity|ance|ence|ness)s?$') and len(regexp_extract_all(word, '[aeiouy]+')) >= 4)",
     "at_",
 )
-_SECTIONS = ["doc_id", F.col("n").alias("n"), F.coalesce(F.col("challenge"), F.lit(-1)).cast("long").alias("challenge"), F.length("opening").cast("long").alias("opening"), F.length("resolution").cast("long").alias("resolution")]
-on_docs("detect_sections", lambda d: prose.sections(d).select(*_SECTIONS), f"with {sql.SECTIONS} select doc_id, n, coalesce(challenge, -1)::bigint as challenge, len(opening) as opening, len(resolution) as resolution from sections")
+on_docs("detect_sections", lambda d: prose.sections(d).select(*["doc_id", F.col("n").alias("n"), F.coalesce(F.col("challenge"), F.lit(-1)).cast("long").alias("challenge"), F.length("opening").cast("long").alias("opening"), F.length("resolution").cast("long").alias("resolution")]), f"with {sql.SECTIONS} select doc_id, n, coalesce(challenge, -1)::bigint as challenge, len(opening) as opening, len(resolution) as resolution from sections")
 on_docs(
     "citation_density",
     lambda d: prose.paragraphs(d).select("doc_id", F.col("pi").cast("long").alias("pi"), (T.count(F.col("para"), _R["citation"]) / F.greatest(T.tokens(F.col("para")), F.lit(1))).alias("value")),
