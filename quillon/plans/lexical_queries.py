@@ -15,8 +15,9 @@ _S = sql.SPIKED
 _T = "[\\p{L}\\p{N}_]+|[^\\s\\p{L}\\p{N}_]"
 
 
-def _round(df: DataFrame) -> DataFrame:
-    return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+def _round(df: DataFrame, nudge: float = 0.0) -> DataFrame:
+    """Doubles to six digits; a nudge takes them off the halves, which engines round apart."""
+    return df.select(*(F.round(F.col(c) + nudge, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 def _chars(parts: str) -> str:
@@ -141,15 +142,15 @@ on_docs(
 )
 
 _SYL = "len(regexp_extract_all(x, '[aeiouy]+'))"
-on_docs("readability", lambda d: _round(lexical.readability(d)), f"""with {sql.SENTS}, s as (select doc_id, count(*) as sents from sents group by doc_id),
+on_docs("readability", lambda d: _round(lexical.readability(d), 1e-9), f"""with {sql.SENTS}, s as (select doc_id, count(*) as sents from sents group by doc_id),
 w as (select doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from spiked),
 r as (select w.doc_id, len(w) as n, greatest(coalesce(sents, 0), 1) as sents, coalesce(list_sum(list_transform(w, lambda x: greatest(1, {_SYL}))), 0)::double as syl,
   coalesce(list_sum(list_transform(w, lambda x: len(x))), 0)::bigint as chars, len(list_filter(w, lambda x: {_SYL} >= 3)) as poly, len(list_filter(w, lambda x: len(x) > 6)) as long,
   greatest(len(w), 1)::double as top from w left join s on w.doc_id = s.doc_id)
-select doc_id, n as desc_tokens, sents as desc_sentences, chars as desc_characters, round(206.835 - 1.015 * (n::double / sents) - 84.6 * syl / top, 6) as flesch_reading_ease,
-  round(0.39 * (n::double / sents) + 11.8 * syl / top - 15.59, 6) as flesch_kincaid_grade, round(1.043 * sqrt(30.0::double * poly / sents) + 3.1291, 6) as smog,
-  round(0.4 * (n::double / sents + 100.0::double * poly / top), 6) as gunning_fog, round(4.71 * chars / top + 0.5 * (n::double / sents) - 21.43, 6) as automated_readability_index,
-  round(5.89 * chars / top - 29.6 * sents / top - 15.8, 6) as coleman_liau_index, round(n::double / sents + 100.0::double * long / top, 6) as lix, round(long::double / sents, 6) as rix from r""")
+select doc_id, n as desc_tokens, sents as desc_sentences, chars as desc_characters, round(206.835 - 1.015 * (n::double / sents) - 84.6 * syl / top + 1e-9, 6) as flesch_reading_ease,
+  round(0.39 * (n::double / sents) + 11.8 * syl / top - 15.59 + 1e-9, 6) as flesch_kincaid_grade, round(1.043 * sqrt(30.0::double * poly / sents) + 3.1291 + 1e-9, 6) as smog,
+  round(0.4 * (n::double / sents + 100.0::double * poly / top) + 1e-9, 6) as gunning_fog, round(4.71 * chars / top + 0.5 * (n::double / sents) - 21.43 + 1e-9, 6) as automated_readability_index,
+  round(5.89 * chars / top - 29.6 * sents / top - 15.8 + 1e-9, 6) as coleman_liau_index, round(n::double / sents + 100.0::double * long / top + 1e-9, 6) as lix, round(long::double / sents + 1e-9, 6) as rix from r""")
 on_docs("read_long_sentence_ratio", lambda d: _round(lexical.prose.sentences(d).groupBy("doc_id").agg(F.avg((F.size(lexical.tokens(F.col("sent"))) > 25).cast("double")).alias("value"))), f"with {sql.SENTS} select doc_id, round(avg(case when len(regexp_extract_all(sent, '{_T}')) > 25 then 1.0 else 0.0 end)::double, 6) as value from sents group by doc_id")
 on_docs("tell_staccato_run", lexical.staccato, f"""with {sql.SENTS}, n as (select doc_id, pi, si, len({sql.words('sent')}) as n from sents),
 k as (select *, row_number() over (partition by doc_id order by pi, si) as k from n where n > 0),

@@ -1,0 +1 @@
+"""Reading corpora from folders, and writing feature rows."""
