@@ -23,6 +23,7 @@ names, are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations, product
@@ -36,7 +37,8 @@ from quillon.llm.common import checkpointed, parts
 from quillon.llm.components import Forest, components
 
 SIMILARITY = 0.95
-#: Tables, probed neighbours in each, and the scale of projections: recall at the threshold is 0.9995 for them.
+#: Tables, probed neighbours in each, and the scale of projections of 64 dimensions (it goes with the root of the
+#: dimensions, so that projected distances are alike for all): together they find nearly all pairs at the threshold.
 TABLES, PROBES, SCALE, SEED = 6, 3, 5.0, 20_260_101
 #: Rows of a cell that are compared in one task group, and rows of a strip of the comparison.
 CELL_ROWS, STRIP = 8_192, 512
@@ -75,7 +77,8 @@ def nearest_e8(x: np.ndarray) -> np.ndarray:
 @lru_cache
 def _projections(dim: int) -> list[tuple[np.ndarray, np.ndarray]]:
     rng = np.random.default_rng(SEED)
-    return [(np.linalg.qr(rng.normal(size=(dim, 8) if dim >= 8 else (8, 8)))[0][:dim] * SCALE, rng.uniform(0, 2, 8)) for _ in range(TABLES)]
+    scale = SCALE * math.sqrt(max(dim, 8) / 64)
+    return [(np.linalg.qr(rng.normal(size=(max(dim, 8), 8)))[0][:dim] * scale, rng.uniform(0, 2, 8)) for _ in range(TABLES)]
 
 
 def _hash(points: np.ndarray, table: int) -> np.ndarray:
