@@ -190,12 +190,19 @@ def _within(rows: DataFrame, members: DataFrame, least: float, block: int) -> Da
             return out
         # in order of similarity to the centre, those too far apart for the triangle inequality aren't looked at
         order = sorted(range(len(group)), key=lambda at: group[at][3])
+        profiles: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         first = 0
+
+        def profile(at: int) -> tuple[np.ndarray, np.ndarray]:
+            if at not in profiles:
+                profiles[at] = shingles(group[at][4])
+            return profiles[at]
+
         for n, q in enumerate(order):
             while group[q][3] - group[order[first]][3] > 1 - least + 1e-9:
                 first += 1
             for p in order[first:n]:
-                if forest.root(p) != forest.root(q) and (group[p][0] != group[q][0] or same_block) and probability_jaccard(_profile(group[p][4]), _profile(group[q][4])) >= least:
+                if forest.root(p) != forest.root(q) and (group[p][0] != group[q][0] or same_block) and probability_jaccard(profile(p), profile(q)) >= least:
                     forest.join(p, q)
                     out.append((group[p][1], group[q][1]))
         return out
