@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions import text as T
+
 # Penalties by severity, order of severities, weights of dimensions.
 PENALTY = {"high": 0.25, "medium": 0.10, "low": 0.05}
 RANK = {"high": 0, "medium": 1, "low": 2}
@@ -46,8 +48,6 @@ def result(docs: DataFrame, findings: DataFrame, weights: dict[str, float]) -> D
 
 def ranked(findings: DataFrame) -> DataFrame:
     """findings with place: their order by severity, then as they were found."""
-    from pyspark.sql import Window
-
     return findings.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(_by("severity", RANK), "ord")))
 
 
@@ -73,8 +73,6 @@ def render(results: DataFrame, findings: DataFrame, rubric: str, weights: dict[s
 
 def dashboard(docs: DataFrame, findings: DataFrame) -> DataFrame:
     """rule, n, per_1000_words, severity (the most frequent; of equals the gravest) over a corpus."""
-    from quillon.functions import text as T
-
     words = docs.agg(F.sum(T.tokens(F.col("text"))).alias("words"))
     by = findings.groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n")).withColumn("rank", _by("severity", RANK))
     rules = by.groupBy("rule").agg(F.sum("n").alias("n"), F.max_by("severity", F.struct("n", -F.col("rank"))).alias("severity"))
