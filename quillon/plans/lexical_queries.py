@@ -88,7 +88,7 @@ def _markdown(docs: DataFrame) -> DataFrame:
     values = structure.long(docs, _AXES)
     std = F.stddev_pop("value")
     reference = values.groupBy("axis").agg(F.avg("value").alias("mean"), F.when(std == 0, F.lit(1.0)).otherwise(std).alias("spread"))
-    return _round(voice.axis_report(values, reference)).where("doc_id % 10 = 0 or direction <> ''")
+    return _round(voice.axis_report(values, reference))
 
 
 on_docs("markdown_report", _markdown, None)

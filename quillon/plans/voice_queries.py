@@ -1,7 +1,7 @@
 """Registered queries of the voice model, flow and profiles, over the embeddings table.
 
-vec_id is the order of paragraphs and label the document or profile; profiles'
-exemplars are vectors whose id isn't divisible by 5, drafts the others.
+vec_id is the order of paragraphs and label the document or profile. Exemplars
+are the vectors of profile 0, drafts all others, contrast those of profile 1.
 """
 
 from __future__ import annotations
@@ -38,27 +38,27 @@ def _register(name: str, relation, text: str | None) -> None:
 _E = """e as (select vec_id as id, label::bigint as profile, embedding::double[] as v from embeddings),
 x as (select id, profile, generate_subscripts(v, 1) - 1 as axis, unnest(v) as x from e)"""
 _AXES = f"""{_E},
-axes as (select axis, avg(x) as mean, case when stddev_pop(x) = 0 then 1 else stddev_pop(x) end as std from x where profile = 0 and id % 5 <> 0 group by axis),
+axes as (select axis, avg(x) as mean, case when stddev_pop(x) = 0 then 1 else stddev_pop(x) end as std from x where profile = 0 group by axis),
 z as (select id, profile, axis, (x - mean) / std as z from x join axes using (axis)),
-exemplars as (select * from z where profile = 0 and id % 5 <> 0)"""
+exemplars as (select * from z where profile = 0)"""
 _LOO = """loo as (select id, min(d) as distance from (select a.id, b.id as other, sqrt(sum((a.z - b.z) * (a.z - b.z))) as d
   from exemplars a join exemplars b on a.axis = b.axis and a.id <> b.id group by a.id, b.id) p group by id)"""
 _KNN = """knn as (select id, profile, min(d) as distance from (select a.id, a.profile, b.id as other, sqrt(sum((a.z - b.z) * (a.z - b.z))) as d
-  from z a join exemplars b on a.axis = b.axis where a.profile <> 0 or a.id % 5 = 0 group by a.id, a.profile, b.id) p group by id, profile)"""
+  from z a join exemplars b on a.axis = b.axis where a.profile <> 0 group by a.id, a.profile, b.id) p group by id, profile)"""
 _FLOORS = """floors as (select quantile_cont(loo.distance, 0.5) as floor, case when stddev_pop(loo.distance) = 0 then 1 else stddev_pop(loo.distance) end as spread,
   (select avg(distance) from knn where profile = 1) as ceiling from loo)"""
 
 
 def _fit(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = _vectors(spark, d)
-    exemplars = rows.where("profile = 0 and id % 5 <> 0")
+    exemplars = rows.where("profile = 0")
     axes = voice.by_axis(exemplars)
     return rows, axes, voice.standardized(exemplars, axes)
 
 
 def _drafts(spark: SparkSession, d: str) -> DataFrame:
     rows, axes, train = _fit(spark, d)
-    return voice.knn(voice.standardized(rows.where("profile <> 0 or id % 5 = 0"), axes), train)
+    return voice.knn(voice.standardized(rows.where("profile <> 0"), axes), train)
 
 
 def _model(spark: SparkSession, d: str) -> DataFrame:
@@ -66,15 +66,15 @@ def _model(spark: SparkSession, d: str) -> DataFrame:
     return voice.floors(voice.knn(train, train, apart=True), voice.knn(voice.standardized(rows.where("profile = 1"), axes), train))
 
 
-_register("axis_fit", lambda s, d: voice.by_axis(_vectors(s, d).where("profile = 0 and id % 5 <> 0")).select(F.posexplode(F.arrays_zip("mean", "std")).alias("axis", "m")).select(F.col("axis").cast("long").alias("axis"), "m.mean", "m.std"), f"with {_AXES} select axis, round(mean, 6) as mean, round(std, 6) as std from axes")
+_register("axis_fit", lambda s, d: voice.by_axis(_vectors(s, d).where("profile = 0")).select(F.posexplode(F.arrays_zip("mean", "std")).alias("axis", "m")).select(F.col("axis").cast("long").alias("axis"), "m.mean", "m.std"), f"with {_AXES} select axis, round(mean, 6) as mean, round(std, 6) as std from axes")
 _register("knn_distance", _drafts, f"with {_AXES}, {_KNN} select id, round(distance, 6) as distance from knn")
 _register("loo_distances", lambda s, d: (lambda t: voice.knn(t, t, apart=True))(_fit(s, d)[2]), f"with {_AXES}, {_LOO} select id, round(distance, 6) as distance from loo")
 _register("exemplar_floor", _model, f"with {_AXES}, {_LOO}, {_KNN}, {_FLOORS} select round(floor, 6) as floor, round(spread, 6) as spread, round(ceiling, 6) as ceiling from floors")
 _register("on_voice", lambda s, d: voice.judged(_drafts(s, d), _model(s, d)), f"with {_AXES}, {_LOO}, {_KNN}, {_FLOORS} select id, round(distance, 6) as distance, round((distance - floor) / spread, 6) as normalized, distance <= floor + spread as on_voice from knn, floors")
 _register(
     "multi_profile_score",
-    lambda s, d: (lambda r: r.where("id % 5 = 0").alias("a").join(voice.small(r.where("id % 5 <> 0").select(F.col("profile").alias("against"), F.col("v").alias("w"))).alias("b")).select("id", "against", V.distance(F.col("v"), F.col("w")).alias("d")).groupBy("id", "against").agg(F.min("d").alias("distance")))(_vectors(s, d)),
-    f"with {_E} select a.id, b.profile as against, round(min(list_distance(a.v, b.v)), 6) as distance from e a, e b where a.id % 5 = 0 and b.id % 5 <> 0 group by a.id, b.profile",
+    lambda s, d: (lambda r: r.join(voice.small(r.select(F.col("id").alias("of"), F.col("profile").alias("against"), F.col("v").alias("w"))), F.col("id") != F.col("of")).select("id", "against", V.distance(F.col("v"), F.col("w")).alias("d")).groupBy("id", "against").agg(F.min("d").alias("distance")))(_vectors(s, d)),
+    f"with {_E} select a.id, b.profile as against, round(min(list_distance(a.v, b.v)), 6) as distance from e a, e b where a.id <> b.id group by a.id, b.profile",
 )
 _UNIT = f"{_E}, u as (select id, profile, axis, x / sqrt(sum(x * x) over (partition by id)) as x from x)"
 _register("style_vec", lambda s, d: voice.mean_vector(_vectors(s, d), "profile").select("profile", F.posexplode("v").alias("axis", "x")).select("profile", F.col("axis").cast("long").alias("axis"), "x"), f"with {_UNIT} select profile, axis, round(avg(x), 6) as x from u group by profile, axis")
@@ -98,8 +98,8 @@ n as (select doc, avg(novelty) as speed, min_by(novelty, i) as o, max_by(novelty
 select doc, round(speed, 6) as speed, round(volume, 6) as volume, round(path / (list_distance(l, f) + 1e-9), 6) as circuitousness,
   round(c / (o + 1e-9), 6) as terminal_initial_ratio, round(list_dot_product(f, l), 6) as circle_back, round(coherence, 6) as coherence
 from ends join path using (doc) join n using (doc) join vol using (doc) where n >= 4""")
-_register("insertion_test", lambda s, d: voice.insertion(_ordered(s, d).where("i % 10 < 2")), None)
-_register("shuffle_test", lambda s, d: voice.shuffled(_ordered(s, d).where("i % 10 < 2"), 50), None)
+_register("insertion_test", lambda s, d: voice.insertion(_ordered(s, d)), None)
+_register("shuffle_test", lambda s, d: voice.shuffled(_ordered(s, d)), None)
 
 _PAIRS = f"{_E}, p as (select a.id, list_cosine_similarity(a.v, b.v) as similarity, list_distance(a.v, b.v) as moved, a.v as a, b.v as b from e a join e b on b.id = a.id + 1)"
 
