@@ -3,12 +3,13 @@
 Terms are a text's words, lower-cased, and their first four to six letters, so
 that forms of one stem meet. From a bounded sample of labelled rows (SAMPLE,
 those of the smallest hash) the terms are chosen that stand in toxic examples
-significantly more often (G-squared). Texts become TF-IDF vectors of these
+significantly more often (G-squared, corrected for the number of terms). Texts become TF-IDF vectors of these
 terms; document frequencies are counted over all documents. A text's nearest
 examples are found exactly by cosine, in an inverted index cut into blocks of
 examples: the best weight of each term in a block bounds the block's cosines,
 blocks are searched from the highest bound down, and the search ends when no
-bound reaches the worst of the K nearest so far. Their votes, weighted by
+bound reaches the worst of the K nearest so far (where bounds are too loose, after
+ALONE blocks, the rest is scored term by term). Their votes, weighted by
 squared cosine, and a little of the base rate make a raw score, which logistic
 calibration turns into the probability of label 1; it is fitted on the examples
 themselves, each without its own vote. Texts that have none of the terms are
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import chain
@@ -39,13 +41,17 @@ from quillon.llm.common import checkpointed, text_or_empty
 
 #: Labelled rows that the examples and terms are taken from, at most.
 SAMPLE = 20_000
-#: Terms at most, their least G-squared, and the toxic examples that a term must stand in.
-TERMS, SIGNIFICANT, LEAST_EXAMPLES = 5_000, 20.0, 3
+#: Terms at most, the chance of any by accident, and the toxic examples that a term must stand in.
+TERMS, ALPHA, LEAST_EXAMPLES = 5_000, 0.01, 3
 #: Terms of toxic examples whose other examples are counted, at most: the most frequent.
 CANDIDATES = 200_000
 #: Neighbours that vote, examples in a block of the index, weight of the base rate in votes.
 K, BLOCK, BASE_WEIGHT = 10, 64, 0.25
+#: Blocks that are searched one by one; beyond them what is left is scored at once.
+ALONE = 12
 EVIDENCE = 3
+#: Examples with terms that calibration asks for their votes, at most: those whose ids have the smallest CRC-32.
+CALIBRATE = 4_000
 _WORD = re.compile(r"\w+")
 #: Words that a worker remembers.
 MOST = 500_000
@@ -85,6 +91,12 @@ def g_squared(a: float, n: float, b: float, m: float) -> float:
     return 2 * (part(a, n) + part(b, m)) if 0 < p < 1 else 0.0
 
 
+def significant(tested: int) -> float:
+    """The G-squared (chi-squared of one degree of freedom) that none of so many terms reaches by accident, but with a chance of ALPHA."""
+    x = 2 * math.log(max(tested, 1) / ALPHA)
+    return x - math.log(x * math.pi / 2)
+
+
 class Index:
     """TF-IDF vectors of labelled examples behind a block-max inverted index."""
 
@@ -100,6 +112,7 @@ class Index:
         for at, (_, _, counts) in enumerate(examples):
             for t, w in zip(*self.unit(counts), strict=True):
                 weights[at // BLOCK].setdefault(t, np.zeros(BLOCK))[at % BLOCK] = w
+        self.postings = [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(idf)
         self.top = np.zeros((len(idf), blocks))
         self.place = np.full((blocks, len(idf)), -1, dtype=np.int32)  # where a term's weights stand in the block's matrix
         self.block: list[np.ndarray] = []
@@ -107,6 +120,13 @@ class Index:
             for n, (t, w) in enumerate(found.items()):
                 self.place[b, t], self.top[t, b] = n, w.max()
             self.block.append(np.array(list(found.values())).reshape(-1, BLOCK))
+        by_term: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for b, found in enumerate(weights):
+            for t, w in found.items():
+                at = np.flatnonzero(w)
+                by_term.setdefault(t, []).append((at + b * BLOCK, w[at]))
+        for t, parts in by_term.items():
+            self.postings[t] = (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
 
     def unit(self, counts: Counter) -> tuple[list[int], np.ndarray]:
         terms = sorted(counts)
@@ -118,22 +138,37 @@ class Index:
         terms, w = self.unit(counts)
         bound = w @ self.top[terms]
         best: list[tuple[float, int, float]] = []
-        worst = 0.0
-        for block in np.argsort(-bound, kind="stable").tolist():
+        worst, order = 0.0, np.argsort(-bound, kind="stable").tolist()
+        for n, block in enumerate(order):
             if bound[block] <= 0 or (len(best) == k and bound[block] < worst - 1e-9):
                 break
+            if n == ALONE:  # bounds are too loose to search block by block: all that is left at once
+                left = np.zeros(len(bound) * BLOCK)
+                for t, q in zip(terms, w, strict=True):
+                    at, weight = self.postings[t]
+                    left[at] += q * weight
+                left = left.reshape(-1, BLOCK)
+                left[order[:n]] = 0
+                best, worst = self._better(best, worst, np.round(left.ravel(), 12), 0, but, k)
+                break
             rows = self.place[block][terms]
             has = rows >= 0
             cosine = np.round(w[has] @ self.block[block][rows[has]], 12)
-            hit = np.flatnonzero((cosine >= worst) & (cosine > 0))
-            if not len(hit):
-                continue
-            at = hit + block * BLOCK
-            rows = zip((-cosine[hit]).tolist(), self.ids[at].tolist(), self.labels[at].tolist(), strict=True)
-            best = sorted([*best, *(r for r in rows if r[1] != but)], key=lambda r: r[:2])[:k]
-            worst = -best[-1][0] if len(best) == k else 0.0
+            best, worst = self._better(best, worst, cosine, block * BLOCK, but, k)
         return [(min(1.0, -c), i, y) for c, i, y in best]
 
+    def _better(self, best: list, worst: float, cosine: np.ndarray, first: int, but: int | None, k: int) -> tuple[list, float]:
+        """The k best of best and of the examples from `first` on, and the worst cosine among them (0 while there are fewer)."""
+        hit = np.flatnonzero((cosine >= worst) & (cosine > 0))
+        if len(hit) > 4 * k:  # those that can be among the k best, one more for the row itself
+            hit = hit[cosine[hit] >= np.partition(cosine[hit], -(k + 1))[-(k + 1)]]
+        if not len(hit):
+            return best, worst
+        at = hit + first
+        rows = zip((-cosine[hit]).tolist(), self.ids[at].tolist(), self.labels[at].tolist(), strict=True)
+        best = sorted([*best, *(r for r in rows if r[1] != but)], key=lambda r: r[:2])[:k]
+        return best, -best[-1][0] if len(best) == k else 0.0
+
 
 def logit(p: float) -> float:
     p = min(1 - 1e-6, max(1e-6, p))
@@ -164,8 +199,9 @@ class Model:
         self.index = Index(idf, known)
         self.slope, self.offset = 1.0, 0.0
         if known:
-            raw = np.array([logit(self.raw(self.index.nearest(c, i))) for i, _, c in known])
-            self.slope, self.offset = fit_logistic(raw, np.array([y for _, y, _ in known], dtype=float))
+            asked = sorted(known, key=lambda e: (zlib.crc32(str(e[0]).encode()), e[0]))[:CALIBRATE]
+            raw = np.array([logit(self.raw(self.index.nearest(c, i))) for i, _, c in asked])
+            self.slope, self.offset = fit_logistic(raw, np.array([y for _, y, _ in asked], dtype=float))
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"terms": self.terms.vocabulary}
@@ -264,7 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model
         pos = {r["term"]: r["pos"] for r in _candidates(taught.where("toxic = 1")).collect()}
         ids = {t: i for i, t in enumerate(sorted(pos))}
         neg = _frequencies(taught.where("toxic = 0"), ids)
-        scored = sorted((-g, t) for t, i in ids.items() if pos[t] * m > neg[i] * n and (g := g_squared(pos[t], n, neg[i], m)) >= SIGNIFICANT)
+        scored = sorted((-g, t) for t, i in ids.items() if pos[t] * m > neg[i] * n and (g := g_squared(pos[t], n, neg[i], m)) >= significant(len(ids)))
     vocabulary = {t: i for i, (_, t) in enumerate(scored[:TERMS])}
     found = checkpointed(vectors(docs, vocabulary))
     total = found.count()
