@@ -25,7 +25,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillon-checkpoint-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    # the shuffles behind it are garbage now; Spark deletes their files when the driver's collector finds them
+    del df
+    sc._jvm.System.gc()
+    return out
 
 
 def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:

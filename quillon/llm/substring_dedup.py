@@ -8,7 +8,8 @@ window repeats, so does this one, so that a sixth of all windows suffices and
 none is missed. Windows are counted by hash and document, pre-aggregated, and
 only documents with repeated ones are read again for the next level.
 
-The full length is decided by two 64-bit hashes. A word is removed if a window
+The full length is counted by two 64-bit hashes; within one document the first
+of them tells its windows apart. A word is removed if a window
 that covers it also starts earlier: in a smaller doc_id, or further up in its
 own document. A document whose words are those of one with a smaller doc_id
 needs no windows: each of its windows starts earlier.
@@ -47,8 +48,8 @@ def levels(first: int = FIRST, length: int = LENGTH) -> list[int]:
     out = [first]
     while out[-1] < length:
         out.append(out[-1] * 2)
-    if out[-1] != length:
-        raise ValueError("the full length is the first, doubled some times")
+    if out[-1] != length or first == length:
+        raise ValueError("the full length is the first, doubled once or more")
     return out
 
 
@@ -120,7 +121,7 @@ def _next_level(rows: DataFrame, alive: DataFrame, level: int, above: int, lengt
 
 
 def _full_windows(rows: DataFrame, alive: DataFrame, level: int, length: int) -> DataFrame:
-    """id, a, b: the two hashes of full windows whose hash at `level` is alive; a null for those that repeat in a row."""
+    """id, a, b: the two hashes of the different full windows whose hash at `level` is alive (id, hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,34 +129,28 @@ def _full_windows(rows: DataFrame, alive: DataFrame, level: int, length: int) ->
                 words = WORDS.of(batch.column(1)[i].as_py().split())
                 live = batch.column(2)[i].values.to_numpy().view(np.uint64)
                 at = np.flatnonzero(np.isin(standing(words, level, length), live))
-                a, b = runs(words, length), runs(words, length, 1)
-                own = len(a) - len(np.unique(a)) > 0
-                _, first = np.unique(a[at], return_index=True)
-                a, b = a[at][first], b[at][first]
-                ids = pa.array([batch.column(0)[i].as_py()] * (len(a) + own), pa.int64())
-                none = pa.nulls(int(own), pa.int64())
-                yield pa.record_batch([ids, pa.concat_arrays([_signed(a), none]), pa.concat_arrays([_signed(b), none])], ["id", "a", "b"])
+                if len(at):
+                    a, first = np.unique(runs(words, length)[at], return_index=True)
+                    b = runs(words, length, 1)[at][first]
+                    yield pa.record_batch([pa.array(np.full(len(a), batch.column(0)[i].as_py())), _signed(a), _signed(b)], ["id", "a", "b"])
 
     return _with_texts(rows, alive).select("id", "text", "hashes").mapInArrow(run, "id long, a long, b long")
 
 
-def covered(a: np.ndarray, b: np.ndarray, earlier_a: np.ndarray, earlier_b: np.ndarray, length: int) -> np.ndarray:
-    """For each word of a document, whether a window that starts earlier covers it; a, b: the hashes of its windows."""
-    gone = np.zeros(len(a), dtype=bool)
-    if len(earlier_a):
-        order = np.argsort(earlier_a)
-        earlier_a, earlier_b = earlier_a[order], earlier_b[order]
-        at = np.minimum(np.searchsorted(earlier_a, a), len(earlier_a) - 1)
-        gone = (earlier_a[at] == a) & (earlier_b[at] == b)
-    both = np.array([a, b]).T
-    _, first = np.unique(both, axis=0, return_index=True)
-    later = np.ones(len(a), dtype=bool)
+def covered(windows: np.ndarray, earlier: np.ndarray, length: int) -> np.ndarray:
+    """For each word of a document, whether a window that starts earlier covers it.
+
+    windows: the hash of each window, in order; earlier: those that other documents have earlier.
+    """
+    starts = np.isin(windows, earlier)
+    _, first = np.unique(windows, return_index=True)
+    later = np.ones(len(windows), dtype=bool)
     later[first] = False
-    starts = np.flatnonzero(gone | later)
-    change = np.zeros(len(a) + length, dtype=np.int64)
+    starts = np.flatnonzero(starts | later)
+    change = np.zeros(len(windows) + length, dtype=np.int64)
     np.add.at(change, starts, 1)
     np.add.at(change, starts + length, -1)
-    return np.cumsum(change)[: len(a) + length - 1] > 0
+    return np.cumsum(change)[: len(windows) + length - 1] > 0
 
 
 def _removed(rows: DataFrame, earlier: DataFrame, length: int) -> DataFrame:
@@ -166,12 +161,10 @@ def _removed(rows: DataFrame, earlier: DataFrame, length: int) -> DataFrame:
             out = []
             for i in range(batch.num_rows):
                 words = batch.column(1)[i].as_py().split()
-                windows = batch.column(2)[i].values
-                hashes = WORDS.of(words)
+                earlier = batch.column(2)[i].values.to_numpy().view(np.uint64)
                 gone = np.zeros(len(words), dtype=bool)
                 if len(words) >= length:
-                    pairs = (x.to_numpy().view(np.uint64) for x in windows.flatten())
-                    gone = covered(runs(hashes, length), runs(hashes, length, 1), *pairs, length)
+                    gone = covered(runs(WORDS.of(words), length), earlier, length)
                 out.append((_sha(words), int(gone.sum()), _sha([w for w, g in zip(words, gone.tolist(), strict=True) if not g])))
             columns = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.record_batch([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True))], ["id", "words_sha256", "n_removed", "kept_sha256"])
@@ -195,14 +188,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, first: int = FIRST, id
         if above == length:
             break
         found = _next_level(rows, alive, level, above, length)
+    # made twice, for the smallest id and for what comes later: cheaper than keeping all windows
+    windows = _full_windows(rows, alive, level, length)
+    least = windows.groupBy("a", "b").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("a", "b", "least")
+    later = windows.join(least, ["a", "b"]).where("id > least").groupBy("id").agg(F.collect_set("a").alias("windows"))
     # windows may repeat within one document alone
     own = seen.where("own").select("id").distinct()
-    alive = checkpointed(alive.join(own, "id", "full_outer").select("id", F.coalesce("hashes", F.array().cast("array<long>")).alias("hashes")))
-    windows = checkpointed(_full_windows(rows, alive, level, length))
-    least = windows.where("a is not null").groupBy("a", "b").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("a", "b", "least")
-    later = windows.where("a is not null").join(least, ["a", "b"]).where("id > least").select("id", F.struct("a", "b").alias("w"))
-    own = windows.where("a is null").select("id", F.lit(None).cast("struct<a: long, b: long>").alias("w"))
-    earlier = checkpointed(later.unionByName(own).groupBy("id").agg(F.collect_set("w").alias("windows")))
+    earlier = checkpointed(later.join(own, "id", "full_outer").select("id", F.coalesce("windows", F.array().cast("array<long>")).alias("windows")))
     removed = _removed(rows, earlier, length)
     short = F.col("n_words") < length
     result = summary.join(removed, ["id", "words_sha256"], "left")
