@@ -32,7 +32,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
