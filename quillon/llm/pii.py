@@ -2,13 +2,14 @@
 
 Base spans are leftmost and non-overlapping for each kind: e-mail addresses, IPv4
 addresses, card numbers that pass the Luhn check, phone numbers. They always
-stay. The field segments the text around trigger characters (digits, @, =, :)
-into entities of a bounded number of tokens and single outside tokens. Features
-see whole spans: their shape, lengths and checksums, and the words beside them.
-Dynamic programming over all segmentations chooses boundaries and types
-together; base spans are fixed in it, and what touches one is no candidate. Text
-without a trigger has no candidates, so windows around triggers are solved on
-their own, with the same result as the whole text.
+stay. The field segments the text around triggers (digits of any script, @, =,
+:, and "at" in words where a domain follows) into entities of a bounded number of
+tokens and single outside tokens. Features see whole spans: their shape, lengths
+and checksums, and the words beside them. Dynamic programming over all
+segmentations chooses boundaries and types together; base spans are fixed in it,
+and what touches one is no candidate. Text without a trigger has no candidates,
+so windows around triggers are solved on their own, with the same result as the
+whole text.
 
 The field is trained by its likelihood (AdaGrad) on sentences that `sentences`
 makes from a seed: filler, entities of each kind in the forms people write
@@ -27,6 +28,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -99,7 +101,6 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 
 
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
-_TRIGGER = re.compile(r"[0-9@=:]")
 _AT_WORDS = {"at", "arroba", "chez"}
 _DOT_WORDS = {"dot", "punkt", "point", "punto"}
 _KEY_WORDS = {"password", "passwd", "pwd", "token", "secret", "api", "key", "apikey", "passwort", "contrase", "auth", "credential"}
@@ -111,10 +112,21 @@ _CUES = {
 }
 
 
-#: An address as people write it, with "at" and "dot" in words or brackets.
-_ADDRESS = re.compile(
-    r"[\w.%+-]+(?: ?@ ?| ?[\[({<] ?(?:at|arroba) ?[\])}>] ?| (?:at|arroba|chez) )\w[\w-]*(?:(?:\.| ?[\[({<] ?(?:dot|punkt|punto) ?[\])}>] ?| (?:dot|punkt|punto|point) )\w[\w-]*)+", re.I
-)
+#: An address as people write it, with "at" and "dot" in words or brackets: what follows "at" in words, and the whole.
+_DOMAIN_WORDS = r"\w[\w-]*(?:(?:\.| ?[\[({<] ?(?:dot|punkt|punto) ?[\])}>] ?| (?:dot|punkt|punto|point) )\w[\w-]*)+"
+_ADDRESS = re.compile(rf"[\w.%+-]+(?: ?@ ?| ?[\[({{<] ?(?:at|arroba) ?[\])}}>] ?| (?:at|arroba|chez) ){_DOMAIN_WORDS}", re.I)
+#: Every candidate has in it a digit (as str.isdigit, in any script), @, or an "at" word before a domain.
+_TRIGGER = re.compile(r"[0-9@=:]")
+_AT_TRIGGER = re.compile(rf"[aAcC](?<![^\W_].)(?i:(?:(?<=a)t|(?<=a)rroba|(?<=c)hez)(?: ?[\])}}>] ?| )(?={_DOMAIN_WORDS}))")
+_OTHER_DIGITS = frozenset(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isdigit())
+
+
+def triggers(text: str) -> list[int]:
+    """Where triggers start, in order."""
+    found = [m.start() for p in (_TRIGGER, _AT_TRIGGER) for m in p.finditer(text)]
+    if not text.isascii() and not _OTHER_DIGITS.isdisjoint(text):
+        found += [i for i, c in enumerate(text) if c in _OTHER_DIGITS]
+    return sorted(found)
 
 
 def shape_features(kind: str, text: str, tokens: list[str], before: list[str], after: str, glued: tuple[bool, bool]) -> list[str]:
@@ -260,9 +272,9 @@ def _windows(text: str, base: dict[str, list[Span]]) -> Iterator[tuple[list[Span
     spans = sorted(s for k in BASE for s in base[k])
     ends = list(accumulate((e for _, e in spans), max))
     windows: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
+    for at in triggers(text):
         # far enough back and on to hold every entity that contains the trigger, and the words it looks at
-        a, b = _back(text, m.start(), REACH + 4), _on(text, m.start(), REACH)
+        a, b = _back(text, at, REACH + 4), _on(text, at, REACH)
         if windows and a <= windows[-1][1]:
             windows[-1][1] = max(b, windows[-1][1])
         else:
@@ -300,6 +312,8 @@ def _back(text: str, at: int, tokens: int) -> int:
         if space < 0:
             return 0
         start = space
+        while start and text[start - 1].isspace():  # a run of white space is one step
+            start -= 1
     return start
 
 
@@ -410,7 +424,7 @@ def all_spans(text: str, field: Field) -> tuple[dict[str, list[Span]], list[tupl
     """The base spans, and those and the added ones together."""
     base = base_spans(text)
     flat = [(k, a, b) for k in BASE for a, b in base[k]]
-    return base, flat + (added_spans(text, base, field) if _TRIGGER.search(text) else [])
+    return base, flat + added_spans(text, base, field)
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -133,6 +133,28 @@ def test_field_decodes_the_best_segmentation():
         assert p == pytest.approx(sum(np.exp(t) for t, c in zip(totals, every, strict=True) if k in c) / z, abs=1e-9)
 
 
+def test_windows_equal_the_whole_text(spark):
+    """Addresses in words are found without a digit, @, = or : near them, as by decoding the whole text."""
+    field, rng = pii.trained(), random.Random(5)
+    filler = ["sang", "look", "at", "At", "the", "chez", "mail", "dot", "point", "über", "weather", "x_at_y", "end.", "(at)", "\n", " ", "\t", "call", "٣", "²"]
+    entities = ["jane at example dot com", "bob [at] corp [dot] net", "x (at) y (dot) org", "ann ARROBA correo punto es", "luc chez poste.fr", "k[at]l[dot]com", "٠٣٠ ٤٤٤٤ ٥٥٥٥", "(555) 555-0100", "token = 0123456789abcdef0"]
+    found_words = 0
+    for n in range(600):
+        pool = entities[:6] if n % 2 else entities
+        text = rng.choice((" ", "  ")).join(x for _ in range(rng.randint(1, 4)) for x in [*rng.choices(filler, k=rng.randint(0, 30)), rng.choice(pool)])
+        tokens = pii.tokens_of(text)
+        base = pii.base_spans(text)
+        touched = [any(a < e and s < b for k in pii.BASE for s, e in base[k]) for a, b in tokens]
+        whole = [(k, tokens[i][0], tokens[j - 1][1]) for i, j, k in field.best(len(tokens), pii.candidates(text, tokens, touched))]
+        flat = [(k, a, b) for k in pii.BASE for a, b in base[k]]
+        assert pii.all_spans(text, field)[1][len(flat):] == whole, text
+        found_words += sum(k == "email" for k, _, _ in whole)
+    assert found_words > 600
+    texts = ["please write to jane at example dot com today", "bob [at] corp [dot] net", "x (at) y (dot) org", "We met at the station. Dot was there at noon."]
+    rows = pii.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert ["[EMAIL]" in r["text"] for r in rows] == [True, True, True, False]
+
+
 def test_base_spans_stay_and_clean_text_is_left_alone(spark):
     texts = ["mail a.b@c.org, or 10.0.0.1", "Version 2.0 of 2024-05-06, pp. 10-20, 3.14% at 10 am.", "token = \"0123456789abcdef0123456789abcdef\""]
     found = [pii.find(spark.createDataFrame([(0, t)], "doc_id long, text string")).first() for t in texts]
