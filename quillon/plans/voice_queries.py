@@ -116,6 +116,12 @@ _register(
     lambda s, d: _next(s, d).join(_drafts(s, d).withColumnRenamed("distance", "before"), "id").join(_drafts(s, d).select((F.col("id") - 1).alias("id"), F.col("distance").alias("after")), "id").select("id", "before", "after", ((V.cosine(F.col("a"), F.col("b")) >= 0.25) & (F.col("after") < F.col("before"))).alias("accepted")),
     f"with {_AXES}, {_KNN}, p as (select a.id, list_cosine_similarity(a.v, b.v) as similarity from e a join e b on b.id = a.id + 1) select p.id, round(x.distance, 6) as before, round(y.distance, 6) as after, similarity >= 0.25 and y.distance < x.distance as accepted from p join knn x on x.id = p.id join knn y on y.id = p.id + 1",
 )
+# evaluate_rewrite with the reference's threshold
+_register(
+    "evaluate_rewrite_reference",
+    lambda s, d: _next(s, d).join(_drafts(s, d).withColumnRenamed("distance", "before"), "id").join(_drafts(s, d).select((F.col("id") - 1).alias("id"), F.col("distance").alias("after")), "id").select("id", "before", "after", ((V.cosine(F.col("a"), F.col("b")) >= 0.85) & (F.col("after") < F.col("before"))).alias("accepted")),
+    f"with {_AXES}, {_KNN}, p as (select a.id, list_cosine_similarity(a.v, b.v) as similarity from e a join e b on b.id = a.id + 1) select p.id, round(x.distance, 6) as before, round(y.distance, 6) as after, similarity >= 0.85 and y.distance < x.distance as accepted from p join knn x on x.id = p.id join knn y on y.id = p.id + 1",
+)
 _register("challenge_answered", lambda s, d: _ordered(s, d).groupBy("doc").agg(V.cosine(F.min_by("v", "i"), F.max_by("v", "i")).alias("similarity")).withColumn("fires", F.col("similarity") < 0.20), f"with {_E} select profile as doc, round(list_cosine_similarity(min_by(v, id), max_by(v, id)), 6) as similarity, list_cosine_similarity(min_by(v, id), max_by(v, id)) < 0.20 as fires from e group by profile")
 _register("closing_the_circle", lambda s, d: _ordered(s, d).groupBy("doc").agg(V.cosine(F.min_by("v", "i"), F.max_by("v", "i")).alias("similarity")).where("similarity < 0.15"), f"with {_E}, c as (select profile as doc, list_cosine_similarity(min_by(v, id), max_by(v, id)) as s from e group by profile) select doc, round(s, 6) as similarity from c where s < 0.15")
 _register(

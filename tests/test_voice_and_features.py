@@ -94,3 +94,25 @@ def test_files_profiles_and_streams(spark, tmp_path):
     stream = verdicts.read(spark, str(tmp_path / "docs"), "doc_id long, text string")
     verdicts.slop(stream, None, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert {r["doc_id"]: r["findings"] for r in spark.read.parquet(str(tmp_path / "out/*")).collect()} == {1: 1, 2: 0}
+
+
+def test_rewrites_are_accepted_at_the_reference_threshold(spark):
+    """Over the embeddings table: accepted only where the next vector keeps the meaning (0.85) and comes nearer; the SQL agrees."""
+    import duckdb
+
+    from quillon.plans import queries, voice_queries  # noqa: F401
+
+    small = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{small}/embeddings.parquet'")
+    vectors = {r[0]: r[1] for r in con.execute("select vec_id, embedding::double[] from embeddings").fetchall()}
+    rows = queries.QUERIES["evaluate_rewrite_reference"](spark, small).collect()
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    for r in rows:
+        a, b = vectors[r["id"]], vectors[r["id"] + 1]
+        cosine = sum(x * y for x, y in zip(a, b, strict=True)) / (norm(a) * norm(b))
+        assert r["accepted"] == (cosine >= 0.85 and r["after"] < r["before"])
+    loose = queries.QUERIES["evaluate_rewrite"](spark, small).where("accepted").count()
+    assert rows and sum(r["accepted"] for r in rows) < loose
+    expected = con.execute(f"select id, before, after, accepted from ({queries.SQL['evaluate_rewrite_reference']}) q").fetchall()
+    assert sorted(tuple(r[n] for n in ("id", "before", "after", "accepted")) for r in rows) == sorted(expected)
