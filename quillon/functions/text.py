@@ -112,3 +112,17 @@ def sentences(paragraph: Column, least: int = 1) -> Column:
 def slug(name: Column) -> Column:
     """A file name: lower-case runs of letters and digits, joined by hyphens."""
     return F.regexp_replace(F.regexp_replace(F.lower(trim(name)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+
+
+def file_name(name: Column) -> Column:
+    """The slug of a whole name, "document" if nothing of it is left."""
+    return F.coalesce(F.nullif(slug(name), F.lit("")), F.lit("document"))
+
+
+def profile_name(name: Column) -> Column:
+    """A name as profiles have it; `valid_profile_name` says whether it may be one."""
+    return F.replace(F.lower(trim(name)), F.lit(" "), F.lit("-"))
+
+
+def valid_profile_name(name: Column) -> Column:
+    return profile_name(name).rlike(r"\A[a-z0-9][a-z0-9_-]*\z")

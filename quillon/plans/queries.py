@@ -67,6 +67,13 @@ on_text("detex_text", T.plain_tex, None)
 on_text("preprocess_runtime_text", T.prepared, None)
 on_text("slug_filename", lambda t: T.slug(F.substring(t, 1, 40)), f"regexp_replace(regexp_replace(lower({sql.trim('left(text, 40)')}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')")
 on_text("normalize_profile_name", lambda t: F.regexp_replace(F.lower(T.trim(F.substring(t, 1, 12))), " ", "-").rlike("^[a-z0-9][a-z0-9_-]*$"), f"regexp_matches(replace(lower({sql.trim('left(text, 12)')}), ' ', '-'), '^[a-z0-9][a-z0-9_-]*$')")
+# the same of whole texts
+on_text("file_name", T.file_name, f"coalesce(nullif(regexp_replace(regexp_replace(lower({sql.trim('text')}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'document')")
+on_docs(
+    "profile_name",
+    lambda d: d.select("doc_id", T.profile_name(F.col("text")).alias("value"), T.valid_profile_name(F.col("text")).alias("valid")),
+    f"with {sql.SPIKED}, n as (select doc_id, replace(lower({sql.trim('text')}), ' ', '-') as value from spiked) select doc_id, value, regexp_matches(value, '^[a-z0-9][a-z0-9_-]*$') as valid from n",
+)
 on_text("word_count", T.words, f"len({sql.words('text')})")
 
 # Tells

@@ -56,3 +56,35 @@ def test_every_pattern_is_valid_java(spark):
     each = [*P.TELLS.values(), *P.RULES.values(), *(p for p, _ in P.MARKUP.values()), *(p for p, _ in P.CLEAN + P.LATEX_NOISE + P.DETEX)]
     row = spark.range(1).select(*(T.count(F.lit("text"), p).alias(str(i)) for i, p in enumerate(each))).first()
     assert all(n is not None for n in row)
+
+
+def test_names_of_whole_texts(spark):
+    """As the reference on the whole text: the slug, "document" for none, the name and whether it is valid; the SQL agrees."""
+    import re
+
+    import duckdb
+
+    from quillon.plans import fixtures, queries
+
+    small = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
+    texts = {r["doc_id"]: r["text"] for r in fixtures.documents(spark, small).collect()}
+    assert any(len(t) > 40 for t in texts.values() if t)
+    for name in ("file_name", "profile_name"):
+        rows = queries.QUERIES[name](spark, small)
+        found = sorted(tuple(r) for r in rows.collect())
+        assert found == sorted(con.execute(f"select {', '.join(rows.columns)} from ({queries.SQL[name]}) q").fetchall())
+        for doc_id, value, *valid in found:
+            low = texts[doc_id].strip().lower()
+            if valid:
+                assert value == low.replace(" ", "-") and valid[0] == bool(re.fullmatch("[a-z0-9][a-z0-9_-]*", value))
+            else:
+                assert value == (re.sub("[^a-z0-9]+", "-", low).strip("-") or "document")
+    from pyspark.sql import functions as F
+
+    from quillon.functions import text as T
+
+    row = spark.createDataFrame([(" My Profile Name Of Words ", " ... ")], "a string, b string").select(T.profile_name(F.col("a")), T.valid_profile_name(F.col("a")), T.file_name(F.col("b"))).first()
+    assert tuple(row) == ("my-profile-name-of-words", True, "document")
