@@ -12,8 +12,8 @@ Defined results: a null text counts as empty, and empty texts are a group like
 any other. Of equal texts the largest doc_id stays; null ids stay only where the
 group has no other id. Rows that repeat a doc_id and its text each count in
 group_size and share the verdict. An empty table gives no rows. Other columns,
-whatever their names, are not read. `drop_copies` works by doc_id, so rows
-without one always stay.
+whatever their names, are not read. `drop_copies` works by doc_id and digest, so
+rows without a doc_id always stay.
 """
 
 from __future__ import annotations
@@ -85,6 +85,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text also stands under a larger doc_id; all columns stay."""
-    dropped = exact_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("dropped_id")).distinct()
-    dropped = sized(checkpointed(dropped))
-    return docs.join(dropped, docs[id_col] == dropped["dropped_id"], "left_anti")
+    dropped = exact_groups(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("dropped_id"), F.col("text_sha256").alias("dropped_sha256")).distinct()
+    dropped = sized(checkpointed(dropped), KEY_ROWS)
+    same = (docs[id_col] == dropped["dropped_id"]) & (F.sha2(text_or_empty(text_col), 256) == dropped["dropped_sha256"])
+    return docs.join(dropped, same, "left_anti")

@@ -165,3 +165,9 @@ def test_near_vectors_equal_brute_force(spark, cell_rows):
     assert sum(found[i]["component_id"] == expected[i] for i in expected) >= 0.99 * len(expected)
     assert all(found[i]["n_links"] == 0 and found[i]["kept"] for i in range(len(vectors), len(rows)))
     assert lattice_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_a_repeated_id_loses_only_its_copied_text(spark):
+    rows = [(5, "copied"), (9, "copied"), (5, "alone"), (None, "copied"), (7, None), (8, "")]
+    kept = exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(map(repr, [(9, "copied"), (5, "alone"), (None, "copied"), (8, "")]))
