@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillon-checkpoint-"))
     out = df.checkpoint()
     # the shuffles behind it are garbage now; Spark deletes their files when the driver's collector finds them
@@ -40,6 +43,24 @@ def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+class Remembered(dict):
+    """What a Python worker remembers from one task to the next, so that it need not be made again."""
+
+    def __init__(self):
+        super().__init__()
+        _remembered.append(weakref.ref(self))
+
+
+_remembered: list[weakref.ref] = []
+
+
+def only(*used: Remembered) -> None:
+    """Forgets what this worker remembers for operators whose tasks it ran before; called when a task begins."""
+    for ref in _remembered:
+        if (memory := ref()) is not None and not any(memory is u for u in used):
+            memory.clear()
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -5,13 +5,15 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from quillon.llm.common import Remembered
+
 #: Words that a worker remembers.
 MOST = 600_000
 #: Multipliers of the run hashes (fixed odd numbers).
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-class WordHashes(dict):
+class WordHashes(Remembered):
     """A word's bytes -> 64-bit hash."""
 
     def __missing__(self, word: bytes) -> int:

@@ -76,6 +76,52 @@ def test_near_groups_equal_brute_force(spark):
         assert found == expected
 
 
+def hot_texts(seed=11):
+    """A passage that many texts share, and many copies of one text that differ, some with repeated words."""
+    rng = random.Random(seed)
+    words = [f"v{i}" for i in range(3000)]
+    passage, base = rng.choices(words, k=60), rng.choices(words, k=120)
+    texts = []
+    for _ in range(90):
+        own = rng.choices(words, k=rng.randint(6, 40))
+        texts.append(" ".join(own + passage))
+        if rng.random() < 0.2:
+            texts.append(" ".join(own + passage + [rng.choice(words)]))
+    for _ in range(90):
+        copy = list(base)
+        for _ in range(rng.randint(0, 9)):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        texts.append(" ".join(copy + copy[:20] * rng.randint(0, 2)))
+    return texts
+
+
+def test_large_buckets_lose_no_link(spark):
+    texts = hot_texts()
+    profiles = [near_dedup.shingles(t.encode()) for t in texts]
+    links = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if near_dedup.probability_jaccard(profiles[i], profiles[j]) >= 0.8]
+    expected = roots(range(len(texts)), links)
+    assert 20 < len(set(expected.values())) < len(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (8, 40):
+        assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(docs, block=block).collect()} == expected
+
+
+def test_bounds_and_prefixes():
+    profiles = [near_dedup.shingles(t.encode()) for t in hot_texts(3)[::3]]
+    top, some = near_dedup.bounds(profiles), near_dedup.bounds(profiles, 10)
+    common, often = np.unique(np.concatenate([e for e, _ in profiles]), return_counts=True)
+    common, often = common[often > 3], often[often > 3]
+    prefixes = [near_dedup.prefix(p, common, often, 0.8) for p in profiles]
+    tight = 0
+    for i, j in itertools.combinations(range(len(profiles)), 2):
+        near = near_dedup.probability_jaccard(profiles[i], profiles[j])
+        assert top[i, j] >= near - 1e-5
+        assert i >= 10 or j < 10 or some[i, j - 10] == pytest.approx(top[i, j], abs=1e-5)
+        assert near < 0.8 or len(np.intersect1d(prefixes[i], prefixes[j]))
+        tight += not len(np.intersect1d(prefixes[i], prefixes[j]))
+    assert tight > 100
+
+
 def test_probability_jaccard_and_its_estimate():
     rng = np.random.default_rng(1)
     gaps = []
