@@ -16,8 +16,10 @@ the block before left over (less than one window). Sequence ids carry the
 task's partition, so a task that is run again gives the same rows.
 
 Words repeat, so the ids of text between single spaces are remembered; the ids
-are those of the whole text, since the splitting pattern always has a border
-before a space that follows and precedes other characters.
+are those that the tokenizers library has for the whole text, since the splitting
+pattern always has a border before a space that follows and precedes other
+characters. Texts that spell an added token (such as an end of text) are given to
+the library whole, which makes it one id.
 
 Defined results: a null text counts as empty and is the end id alone. Rows are
 independent, so ids may be null or repeated; an empty table gives no rows; other
@@ -29,18 +31,20 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import zlib
+from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from quillon.llm.common import text_or_empty
+from quillon.llm.common import Remembered, only, text_or_empty
 
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
@@ -48,52 +52,83 @@ BLOCK_TOKENS = 1_000_000
 STEP_SEQUENCES = 8
 #: Chunks of text that a worker remembers, and the longest of them.
 MOST, LONGEST = 600_000, 64
+#: Whether an array of "I" has the bytes that are asked for.
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
+#: Marks that often follow a word. Letters under this one are split alike by all versions of Unicode.
+MARKS, LATIN = ".,;:!?", "\u0250"
 #: A tokenizer file larger than this is not sent along with tasks.
 FILE_BYTES = 16_000_000
-#: The splitting pattern of byte-level BPE (a fixed value).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A space with another white-space character beside it: there the pattern may have no border.
-_WIDE = re.compile(r" [\s\x1c-\x1f]|[^\S ] ")
-
-
-def byte_characters() -> dict[str, int]:
-    """The character that byte-level vocabularies write for each byte, and back: printable Latin-1 stands for itself."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+#: A space between other characters: pieces always have a border before it.
+_BORDER = re.compile(r"(?<=\S) (?=\S)")
 
 
 class ByteTokenizer:
-    """Little-endian 32-bit ids of texts under a byte-level BPE vocabulary file; special tokens are ordinary text."""
+    """Little-endian 32-bit ids of texts, by the tokenizers library, under a file with a byte-level BPE model."""
 
     def __init__(self, file: str):
-        model = json.loads(file)
-        if model["model"]["type"] != "BPE" or model["normalizer"] or model["pre_tokenizer"]["type"] != "ByteLevel" or model["pre_tokenizer"]["add_prefix_space"]:
-            raise ValueError("a byte-level BPE tokenizer without prefix space is needed")
-        to_byte = byte_characters()
-        special = {t["content"] for t in model["added_tokens"]}
-        ranks = {bytes(to_byte[c] for c in piece): i for piece, i in model["model"]["vocab"].items() if piece not in special}
-        self.encoding = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.seen: dict[str, bytes] = {}
-
-    def _pack(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), dtype="<u4").tobytes()
+        made = json.loads(file)
+        model, split = made["model"], made["pre_tokenizer"] or {}
+        if model["type"] != "BPE" or model.get("dropout") or made["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            raise ValueError("a byte-level BPE tokenizer without normalizer, prefix space and dropout is needed")
+        self.library = Tokenizer.from_str(file)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.added = [t["content"] for t in made["added_tokens"]]
+        self.pieces, self.merged = self.library.pre_tokenizer.pre_tokenize_str, self.library.model.tokenize
+        self.space = self.pieces(" ")[0][0]  # a space as the vocabulary writes it
+        #: letters as the vocabulary writes their bytes
+        self.written = {i: self.pieces(chr(i))[0][0] for i in range(ord(LATIN)) if chr(i).isalpha()}
+        self.seen, self.marks = Remembered(), {}
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return array("I", ids).tobytes() if LITTLE else np.array(ids, dtype="<u4").tobytes()
+
+    def _word(self, key: str) -> bytes:
+        """Ids of a space and what follows it up to the next border."""
+        if key.isalpha():  # one piece
+            if key.isascii():
+                return self._pack([t.id for t in self.merged(self.space + key)])
+            if max(key) < LATIN:
+                return self._pack([t.id for t in self.merged(self.space + key.translate(self.written))])
+        return self._pack([t.id for piece, _ in self.pieces(" " + key) for t in self.merged(piece)])
+
+    def _chunk(self, key: str) -> bytes:
+        """The same; marks after letters are pieces of their own, and remembered apart."""
+        word = key.rstrip(MARKS)
+        if len(word) == len(key) or not word.isalpha():
+            return self._word(key)
+        marks = key[len(word) :]
+        if (after := self.marks.get(marks)) is None:
+            after = self._pack([t.id for t in self.merged(marks)])
+            if len(marks) <= 2:
+                self.marks[marks] = after
+        return (self.seen.get(word) or self._word(word)) + after
+
+    def _learned(self, key: str) -> bytes:
+        ids = self._chunk(key)
+        if len(key) <= LONGEST and _within(key):
+            if len(self.seen) > MOST:
+                self.seen.clear()
+            self.seen[key] = ids
+        return ids
 
     def __call__(self, text: str) -> bytes:
-        if _WIDE.search(text):
-            return self._pack(text)
-        seen = self.seen
+        if any(a in text for a in self.added):  # added tokens are found before anything is split
+            return self._pack(self.library.encode(text, add_special_tokens=False).ids)
         first, *rest = text.split(" ")
-        out = [self._pack(first)]
-        for key in rest:
-            if (ids := seen.get(key)) is None:
-                ids = self._pack(" " + key)
-                if len(key) <= LONGEST:
-                    if len(seen) > MOST:
-                        seen.clear()
-                    seen[key] = ids
-            out.append(ids)
-        return b"".join(out)
+        found = list(map(self.seen.get, rest))
+        if first[-1:].isspace() or (None in found and not all(map(_within, (k for k, ids in zip(rest, found, strict=True) if ids is None)))):
+            # what is remembered has no white space at its ends, so here is a space beside other white space
+            first, *rest = _BORDER.split(text)
+            found = list(map(self.seen.get, rest))
+        if None in found:
+            found = [self._learned(key) if ids is None else ids for key, ids in zip(rest, found, strict=True)]
+        return self._pack(self.library.encode(first, add_special_tokens=False).ids) + b"".join(found)
+
+
+def _within(key: str) -> bool:
+    """Whether white space may stand in the key only, and not at its ends."""
+    return bool(key) and not key[0].isspace() and not key[-1].isspace()
 
 
 _tokenizers: dict[bytes, ByteTokenizer] = {}
@@ -237,6 +272,7 @@ def pack(docs: DataFrame, tokenizer_path: str, tiers: tuple[int, ...] = TIERS, i
         if name not in _tokenizers:
             _tokenizers[name] = ByteTokenizer(file)
         tokenizer = _tokenizers[name]
+        only(tokenizer.seen)
         packer = Packer(TaskContext.get().partitionId(), tiers)
         block, size = [], 0
 

@@ -15,7 +15,7 @@ from quillon.llm import packing, pii, sentence_pieces, token_counts
 from quillon.llm.chunks import chunk_keys, escaped
 
 PIECES, BYTES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
-TEXTS = ["", " ", "  ", "a", "  a  b ", "\ta\n\nb", "é", "ﬁ²", "a▁b", "　x", "a\x00b", "</s>x<s>", "<0x0A>", "🎉🎉 a", " " * 37 + "x" + " " * 19, "a" * 300, "== ## \n\n  x", "it's we'll", "a \n b", "a\n b", "a \nb", "x \x85 y", "a\x1c b", "<|endoftext|> x"]
+TEXTS = ["", " ", "  ", "a", "  a  b ", "\ta\n\nb", "é", "ﬁ²", "a▁b", "　x", "a\x00b", "</s>x<s>", "<0x0A>", "🎉🎉 a", " " * 37 + "x" + " " * 19, "a" * 300, "== ## \n\n  x", "it's we'll", "a \n b", "a\n b", "a \nb", "x \x85 y", "a\x1c b", "<|endoftext|> x", "a <|endoftext|><|endoftext|>  b", "<|endoftext", "  lead", "a\u180e b \u180e c", "we'll  'll it's", "\u2028 x \x1f y  "]
 
 
 def made(n, seed=3):
@@ -67,7 +67,6 @@ def test_token_count_ties_prefer_the_longest_last_piece():
 
 def test_packing_holds_each_id_once(spark):
     library = Tokenizer.from_file(BYTES)
-    library.encode_special_tokens = True
     texts = TEXTS + made(300) + ["long text here " * 3000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
