@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.chunks import LONGEST, MOST, SPACE, chunk_keys, crosses, escaped, slices
-from quillon.llm.common import text_or_empty
+from quillon.llm.common import Remembered, only, text_or_empty
 
 #: Chunks longer than this take the heap; shorter ones of one length go in step.
 IN_STEP = 40
@@ -245,7 +245,7 @@ class Encoder:
 
     def __init__(self, model: PieceModel, form: Callable[[list[int]], object], check: bool):
         self.model, self.form, self.check = model, form, check
-        self.seen: dict[str, object] = {}
+        self.seen = Remembered()
 
     def learn(self, keys: list[str]) -> dict[str, object]:
         found = self.model.encode_chunks(keys)
@@ -283,6 +283,7 @@ def _encoder(proto: bytes, name: str, form: Callable, check: bool) -> Encoder:
     if key not in _encoders:
         model = _model(proto)
         _encoders[key] = Encoder(model, form(model), check)
+    only(_encoders[key].seen)
     return _encoders[key]
 
 

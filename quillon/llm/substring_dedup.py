@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import checkpointed, sized
+from quillon.llm.common import checkpointed, only, sized
 from quillon.llm.words import WORDS, runs, sliding_min
 
 LENGTH, FIRST = 20, 10
@@ -76,6 +76,7 @@ def _first_level(rows: DataFrame, level: int, length: int) -> DataFrame:
     """id, n_words, words_sha256, hashes (of the windows that stand for full ones), own (one may repeat here), for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(WORDS)
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)

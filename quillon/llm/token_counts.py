@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.chunks import LONGEST, MOST, chunk_keys, crosses, escaped
-from quillon.llm.common import text_or_empty
+from quillon.llm.common import Remembered, only, text_or_empty
 
 UNKNOWN_PENALTY = 10.0
 #: Vocabularies larger than this are not sent along with tasks.
@@ -54,7 +54,7 @@ class UnigramCounter:
         self.automaton.make_automaton()
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         self.byte_pieces = byte_pieces
-        self.seen: dict[str, tuple[int, float]] = {}
+        self.seen = Remembered()
 
     def chunk(self, text: str) -> tuple[int, float]:
         """Pieces and score of the best path over one escaped chunk."""
@@ -108,6 +108,7 @@ def count_tokens(docs: DataFrame, pieces: tuple[tuple[str, float], ...], byte_pi
         if name not in _counters:
             _counters[name] = UnigramCounter(pieces, byte_pieces)
         counter = _counters[name]
+        only(counter.seen)
         for batch in batches:
             texts = batch.column(1)
             found = [counter(t) for a in range(0, len(texts), 500) for t in texts.slice(a, 500).to_pylist()]
