@@ -1,173 +1,188 @@
 """Toxicity by votes of the nearest labelled examples.
 
 Terms are a text's words, lower-cased, and their first four to six letters, so
-that forms of one stem meet. From a bounded sample of labelled rows (SAMPLE,
-those of the smallest hash) the terms are chosen that stand in toxic examples
-significantly more often (G-squared, corrected for the number of terms). Texts become TF-IDF vectors of these
-terms; document frequencies are counted over all documents. A text's nearest
-examples are found exactly by cosine, in an inverted index cut into blocks of
-examples: the best weight of each term in a block bounds the block's cosines,
-blocks are searched from the highest bound down, and the search ends when no
-bound reaches the worst of the K nearest so far (where bounds are too loose, after
-ALONE blocks, the rest is scored term by term). Their votes, weighted by
-squared cosine, and a little of the base rate make a raw score, which logistic
-calibration turns into the probability of label 1; it is fitted on the examples
-themselves, each without its own vote. Texts that have none of the terms are
-as toxic as such examples are.
-
-Defined results: a null text counts as empty; empty texts have no terms. A row's
-own example (same doc_id) never votes for it; ties between examples go to the
-smaller doc_id. Repeated rows are scored each; repeated labels of a doc_id count
-as toxic if any is; null labels and null ids teach nothing. Without examples of
-both labels every text gets the base rate (0.5 pseudo-counts). An empty table
-gives no rows. Other columns, whatever their names, are not read.
+that forms of one stem meet. A bounded sample of labelled rows (SAMPLE, those of
+the smallest hash) is dealt to examples and to calibration, by another hash. All
+texts become TF-IDF vectors over all terms of the examples: 1 + log of the
+term's frequency, its inverse document frequency over all documents, and its
+relevance, the root of the likelihood ratio (G-squared) of the examples' labels
+given the term. So every word counts, for either label, and words that say
+little about it count little.
+
+A text's nearest examples are found exactly by cosine in a block-max inverted
+index. Postings of terms that few examples have are added up first; then the best
+weight of each common term in each block of examples bounds what the block can
+still gain, blocks are searched from the highest bound down, and those whose
+bound doesn't reach the worst of the K best are never searched. Votes of the
+nearest, weighted by squared cosine, and a little of the base rate make a raw
+score, which logistic regression on the calibration rows, whose labels neither
+vote nor weight terms, turns into the probability of label 1.
+
+Defined results: a null text counts as empty; texts without any term of an
+example get the base rate. A row's own example (same doc_id) never votes for it;
+ties between examples go to the smaller doc_id. Repeated rows are scored each;
+repeated labels of a doc_id count as toxic if any is; null labels and null ids
+teach nothing. Without examples of both labels no term has relevance, and every
+text gets the base rate (0.5 pseudo-counts). An empty table gives no rows. Other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import checkpointed, text_or_empty
+from quillon.llm.common import Remembered, checkpointed, only, text_or_empty
 
-#: Labelled rows that the examples and terms are taken from, at most.
-SAMPLE = 20_000
-#: Terms at most, the chance of any by accident, and the toxic examples that a term must stand in.
-TERMS, ALPHA, LEAST_EXAMPLES = 5_000, 0.01, 3
-#: Terms of toxic examples whose other examples are counted, at most: the most frequent.
-CANDIDATES = 200_000
+#: Labelled rows that examples and calibration rows are taken from, at most; one in CALIBRATION of them calibrates.
+SAMPLE, CALIBRATION = 4_000, 4
 #: Neighbours that vote, examples in a block of the index, weight of the base rate in votes.
 K, BLOCK, BASE_WEIGHT = 10, 64, 0.25
-#: Blocks that are searched one by one; beyond them what is left is scored at once.
-ALONE = 12
+#: Terms that more than one in COMMON examples have are searched by blocks; blocks that are searched before the others are judged.
+COMMON, FIRST = 10, 4
+#: Texts that are searched for together.
+TOGETHER = 128
 EVIDENCE = 3
-#: Examples with terms that calibration asks for their votes, at most: those whose ids have the smallest CRC-32.
-CALIBRATE = 4_000
 _WORD = re.compile(r"\w+")
 #: Words that a worker remembers.
-MOST = 500_000
+MOST = 300_000
 
 
 def terms_of(word: str) -> list[str]:
     return [word, *("^" + word[:k] for k in (4, 5, 6) if len(word) > k)]
 
 
-class TermIds(dict):
-    """A run of non-space characters -> ids of the terms of its words that are in the vocabulary."""
+class TermIds(Remembered):
+    """A run of non-space characters, in lower case -> ids of the terms of its words that are in the vocabulary."""
 
     def __init__(self, vocabulary: dict[str, int]):
         super().__init__()
         self.vocabulary = vocabulary
+        self.place = np.zeros(len(vocabulary), dtype=np.int64)
 
     def __missing__(self, run: str) -> tuple[int, ...]:
-        found = tuple(i for w in _WORD.findall(run.lower()) for t in terms_of(w) if (i := self.vocabulary.get(t)) is not None)
+        found = tuple(i for w in _WORD.findall(run) for t in terms_of(w) if (i := self.vocabulary.get(t)) is not None)
         if len(run) <= 64:
             if len(self) > MOST:
                 self.clear()
             self[run] = found
         return found
 
-    def vector(self, text: str) -> Counter:
-        """Term id -> frequency."""
-        return Counter(chain.from_iterable(filter(None, map(self.__getitem__, text.split()))))
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The text's different terms, and how often each occurs."""
+        ids = np.fromiter(chain.from_iterable(map(self.__getitem__, text.lower().split())), dtype=np.int64)
+        at = np.arange(len(ids))
+        self.place[ids] = at
+        last = self.place[ids]  # one place for each term
+        once = last == at
+        return ids[once], np.bincount(last, minlength=len(ids))[once]
 
 
-def g_squared(a: float, n: float, b: float, m: float) -> float:
-    """The likelihood ratio statistic of a of n against b of m."""
+def g_squared(a: np.ndarray, n: int, b: np.ndarray, m: int) -> np.ndarray:
+    """The likelihood ratio statistics of a of n against b of m."""
     p = (a + b) / (n + m)
 
-    def part(k: float, of: float) -> float:
-        return (k * math.log(k / (of * p)) if k else 0.0) + ((of - k) * math.log((of - k) / (of * (1 - p))) if k < of else 0.0)
+    def part(k: np.ndarray, of: int) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            hit = np.where(k > 0, k * np.log(k / (of * p)), 0.0)
+            miss = np.where(k < of, (of - k) * np.log((of - k) / (of * (1 - p))), 0.0)
+        return hit + miss
 
-    return 2 * (part(a, n) + part(b, m)) if 0 < p < 1 else 0.0
-
-
-def significant(tested: int) -> float:
-    """The G-squared (chi-squared of one degree of freedom) that none of so many terms reaches by accident, but with a chance of ALPHA."""
-    x = 2 * math.log(max(tested, 1) / ALPHA)
-    return x - math.log(x * math.pi / 2)
+    return np.maximum(2 * (part(a, n) + part(b, m)), 0.0)
 
 
 class Index:
     """TF-IDF vectors of labelled examples behind a block-max inverted index."""
 
-    def __init__(self, idf: np.ndarray, examples: list[tuple[int, int, Counter]]):
-        """examples: doc_id, label, term frequencies (not empty)."""
-        self.idf = idf
+    def __init__(self, weight: np.ndarray, ids: np.ndarray, labels: np.ndarray, example: np.ndarray, term: np.ndarray, count: np.ndarray):
+        """weight: of each term; ids, labels: of each example; example, term, count: a row for each term of an example."""
+        value = (1 + np.log(count)) * weight[term]
+        keep = value > 0
+        example, term, value = example[keep], term[keep], value[keep]
+        value = value / np.sqrt(np.bincount(example, value * value, minlength=len(ids)))[example]
         # examples that share their heaviest term share blocks, which makes their bounds tight
-        examples = sorted(examples, key=lambda e: (max(e[2], key=lambda t: (idf[t], t)), e[0]))
-        self.ids = np.array([e[0] for e in examples], dtype=np.int64)
-        self.labels = np.array([e[1] for e in examples], dtype=np.float64)
-        blocks = max(1, -(-len(examples) // BLOCK))
-        weights: list[dict[int, np.ndarray]] = [{} for _ in range(blocks)]  # of a block's terms, for each of its examples
-        for at, (_, _, counts) in enumerate(examples):
-            for t, w in zip(*self.unit(counts), strict=True):
-                weights[at // BLOCK].setdefault(t, np.zeros(BLOCK))[at % BLOCK] = w
-        self.postings = [(np.zeros(0, dtype=np.int64), np.zeros(0))] * len(idf)
-        self.top = np.zeros((len(idf), blocks))
-        self.place = np.full((blocks, len(idf)), -1, dtype=np.int32)  # where a term's weights stand in the block's matrix
-        self.block: list[np.ndarray] = []
-        for b, found in enumerate(weights):
-            for n, (t, w) in enumerate(found.items()):
-                self.place[b, t], self.top[t, b] = n, w.max()
-            self.block.append(np.array(list(found.values())).reshape(-1, BLOCK))
-        by_term: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for b, found in enumerate(weights):
-            for t, w in found.items():
-                at = np.flatnonzero(w)
-                by_term.setdefault(t, []).append((at + b * BLOCK, w[at]))
-        for t, parts in by_term.items():
-            self.postings[t] = (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-
-    def unit(self, counts: Counter) -> tuple[list[int], np.ndarray]:
-        terms = sorted(counts)
-        w = np.array([(1 + math.log(counts[t])) * self.idf[t] for t in terms])
-        return terms, w / math.sqrt(float(w @ w))
-
-    def nearest(self, counts: Counter, but: int | None, k: int = K) -> list[tuple[float, int, float]]:
-        """cosine, doc_id, label of the k nearest examples, exactly; those of cosine 0 are none."""
-        terms, w = self.unit(counts)
-        bound = w @ self.top[terms]
-        best: list[tuple[float, int, float]] = []
-        worst, order = 0.0, np.argsort(-bound, kind="stable").tolist()
-        for n, block in enumerate(order):
-            if bound[block] <= 0 or (len(best) == k and bound[block] < worst - 1e-9):
-                break
-            if n == ALONE:  # bounds are too loose to search block by block: all that is left at once
-                left = np.zeros(len(bound) * BLOCK)
-                for t, q in zip(terms, w, strict=True):
-                    at, weight = self.postings[t]
-                    left[at] += q * weight
-                left = left.reshape(-1, BLOCK)
-                left[order[:n]] = 0
-                best, worst = self._better(best, worst, np.round(left.ravel(), 12), 0, but, k)
-                break
-            rows = self.place[block][terms]
-            has = rows >= 0
-            cosine = np.round(w[has] @ self.block[block][rows[has]], 12)
-            best, worst = self._better(best, worst, cosine, block * BLOCK, but, k)
-        return [(min(1.0, -c), i, y) for c, i, y in best]
-
-    def _better(self, best: list, worst: float, cosine: np.ndarray, first: int, but: int | None, k: int) -> tuple[list, float]:
-        """The k best of best and of the examples from `first` on, and the worst cosine among them (0 while there are fewer)."""
-        hit = np.flatnonzero((cosine >= worst) & (cosine > 0))
-        if len(hit) > 4 * k:  # those that can be among the k best, one more for the row itself
-            hit = hit[cosine[hit] >= np.partition(cosine[hit], -(k + 1))[-(k + 1)]]
-        if not len(hit):
-            return best, worst
-        at = hit + first
-        rows = zip((-cosine[hit]).tolist(), self.ids[at].tolist(), self.labels[at].tolist(), strict=True)
-        best = sorted([*best, *(r for r in rows if r[1] != but)], key=lambda r: r[:2])[:k]
-        return best, -best[-1][0] if len(best) == k else 0.0
+        heaviest = np.full(len(ids), -1, dtype=np.int64)
+        by_value = np.lexsort((-term, value))
+        heaviest[example[by_value]] = term[by_value]
+        place = np.empty(len(ids), dtype=np.int64)
+        place[np.lexsort((ids, heaviest))] = np.arange(len(ids))
+        self.weight, self.examples = weight, len(ids)
+        self.size = -(-len(ids) // BLOCK) * BLOCK
+        order = np.argsort(place)
+        self.ids, self.labels = np.append(ids[order], np.zeros(self.size - len(ids), dtype=np.int64)), np.append(labels[order], np.zeros(self.size - len(ids)))
+        example = place[example]
+        having = np.bincount(term, minlength=len(weight))
+        common = np.flatnonzero(having > max(1, len(ids) // COMMON))
+        self.row = np.full(len(weight), -1, dtype=np.int64)  # of a common term
+        self.row[common] = np.arange(len(common))
+        is_common = self.row[term] >= 0
+        dense = np.zeros((self.size, len(common)))
+        dense[example[is_common], self.row[term[is_common]]] = value[is_common]
+        #: of each block its examples' weights of common terms, and the best of them
+        self.blocks = dense.reshape(self.size // BLOCK, BLOCK, len(common))
+        self.top = np.ascontiguousarray(self.blocks.max(axis=1))
+        rare = np.flatnonzero(~is_common)
+        rare = rare[np.argsort(term[rare], kind="stable")]
+        self.posting, self.posted = example[rare], value[rare]
+        self.start = np.searchsorted(term[rare], np.arange(len(weight) + 1))
+
+    def unit(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = (1 + np.log(counts)) * self.weight[terms]
+        terms, w = terms[w > 0], w[w > 0]
+        return terms, w / math.sqrt(float(w @ w)) if len(w) else w
+
+    def _rare(self, terms: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Each example's cosine as far as rare terms make it: their postings, end to end."""
+        a, n = self.start[terms], self.start[terms + 1] - self.start[terms]
+        at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        return np.bincount(self.posting[at], self.posted[at] * np.repeat(w, n), minlength=self.size)
+
+    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], but: list[int | None], k: int = K) -> list[list[tuple[float, int, float]]]:
+        """For each text (terms, counts): cosine, doc_id, label of the k nearest examples, exactly; those of cosine 0 are none.
+
+        but: the doc_id of each text, whose own examples are none either. A block is searched for all texts that need it together.
+        """
+        if not self.size:
+            return [[] for _ in texts]
+        score, query = np.zeros((len(texts), self.size)), np.zeros((len(texts), self.top.shape[1]))
+        for i, (terms, counts) in enumerate(texts):
+            terms, w = self.unit(terms, counts)
+            common = self.row[terms] >= 0
+            query[i, self.row[terms[common]]] = w[common]
+            score[i] = self._rare(terms[~common], w[~common])
+            if but[i] is not None:
+                score[i, self.ids == but[i]] = -2.0  # below all others, whatever is added
+        by_block = score.reshape(len(texts), -1, BLOCK)  # a view
+        bound = by_block.max(axis=2) + query @ self.top.T
+        first = np.argsort(-bound, axis=1, kind="stable")[:, :FIRST]
+        wanted = np.zeros(bound.shape, dtype=bool)
+        np.put_along_axis(wanted, first, True, axis=1)
+        self._search(by_block, query, wanted)
+        # what the k-th best has by now; adding the other blocks' common terms makes it no smaller
+        least = np.partition(score, -k, axis=1)[:, -k] if self.size > k else np.zeros(len(texts))
+        self._search(by_block, query, ~wanted & (bound >= least[:, None] - 1e-9))
+        out = []
+        for row in np.round(score, 12):
+            hit = np.flatnonzero(row > 0)
+            if len(hit) > k:
+                hit = hit[row[hit] >= np.partition(row[hit], -k)[-k]]
+            order = hit[np.lexsort((self.ids[hit], -row[hit]))][:k]
+            out.append(list(zip(np.minimum(row[order], 1.0).tolist(), self.ids[order].tolist(), self.labels[order].tolist(), strict=True)))
+        return out
+
+    def _search(self, by_block: np.ndarray, query: np.ndarray, wanted: np.ndarray) -> None:
+        """Adds what common terms make of the cosines, in the wanted blocks of each text."""
+        for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+            of = np.flatnonzero(wanted[:, b])
+            by_block[of, b] += query[of] @ self.blocks[b].T
 
 
 def logit(p: float) -> float:
@@ -190,18 +205,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[floa
 
 
 class Model:
-    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, examples: list[tuple[int, int, Counter]]):
-        self.terms = TermIds(vocabulary)
-        known = [e for e in examples if e[2]]
-        empty = [e[1] for e in examples if not e[2]]
-        self.base = (sum(e[1] for e in examples) + 0.5) / (len(examples) + 1)
-        self.empty = (sum(empty) + 0.5) / (len(empty) + 1) if empty else self.base
-        self.index = Index(idf, known)
+    def __init__(self, vocabulary: dict[str, int], index: Index):
+        self.terms, self.index = TermIds(vocabulary), index
+        toxic = float(index.labels.sum())
+        self.base = (toxic + 0.5) / (index.examples + 1)
         self.slope, self.offset = 1.0, 0.0
-        if known:
-            asked = sorted(known, key=lambda e: (zlib.crc32(str(e[0]).encode()), e[0]))[:CALIBRATE]
-            raw = np.array([logit(self.raw(self.index.nearest(c, i))) for i, _, c in asked])
-            self.slope, self.offset = fit_logistic(raw, np.array([y for _, y, _ in asked], dtype=float))
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"terms": self.terms.vocabulary}
@@ -209,15 +217,23 @@ class Model:
     def __setstate__(self, state: dict) -> None:
         self.__dict__ = state | {"terms": TermIds(state["terms"])}
 
-    def raw(self, found: Iterable[tuple[float, int, float]]) -> float:
+    def nearest(self, texts: list[str], ids: list[int | None]) -> list[list[tuple[float, int, float]]]:
+        return self.index.nearest([self.terms.counts(t) for t in texts], ids)
+
+    def raw(self, found: list[tuple[float, int, float]]) -> float:
         votes = [(c * c, y) for c, _, y in found]
         return (sum(w * y for w, y in votes) + BASE_WEIGHT * self.base) / (sum(w for w, _ in votes) + BASE_WEIGHT)
 
-    def score(self, counts: Counter, doc_id: int | None) -> tuple[float, list[tuple[float, int, float]]]:
-        if not counts:
-            return self.empty, []
-        found = self.index.nearest(counts, doc_id)
-        return 1 / (1 + math.exp(-(self.slope * logit(self.raw(found)) + self.offset))), found
+    def score(self, texts: list[str], ids: list[int | None]) -> Iterator[tuple[float, list[tuple[float, int, float]]]]:
+        """Score and nearest examples of each text."""
+        for found in self.nearest(texts, ids):
+            yield 1 / (1 + math.exp(-(self.slope * logit(self.raw(found)) + self.offset))) if found else self.base, found
+
+
+def _parts(batch: pa.RecordBatch, id_at: int, text_at: int) -> Iterator[tuple[list[str], list[int | None]]]:
+    """Texts and ids of a batch, TOGETHER at a time."""
+    for a in range(0, batch.num_rows, TOGETHER):
+        yield [t or "" for t in batch.column(text_at).slice(a, TOGETHER).to_pylist()], batch.column(id_at).slice(a, TOGETHER).to_pylist()
 
 
 def held_out(id_col):
@@ -225,89 +241,108 @@ def held_out(id_col):
     return F.coalesce(F.crc32(id_col.cast("string")) % 5 == 0, F.lit(False))
 
 
-def _candidates(toxic: DataFrame) -> DataFrame:
-    """term, pos: the terms of toxic examples and how many have them, added up by task first."""
+def taught(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """doc_id, toxic, calibrates of the labelled rows that may be learned from, `most` at most: those of the smallest hash."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
+    each = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    few = each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    return few.withColumn("calibrates", F.pmod(F.xxhash64("doc_id", F.lit("calibrates")), F.lit(CALIBRATION)) == 0)
+
+
+def _example_terms(examples: DataFrame) -> DataFrame:
+    """doc_id, toxic, terms, counts of examples (doc_id, toxic, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0):
-                counts.update({t for w in set(_WORD.findall(text.as_py().lower())) for t in terms_of(w)})
-        terms = list(counts)
-        for a in range(0, len(terms), 50_000):
-            some = terms[a : a + 50_000]
-            yield pa.record_batch([pa.array(some, pa.string()), pa.array([counts[t] for t in some], pa.int64())], ["term", "pos"])
+            for i in range(batch.num_rows):
+                found: dict[str, int] = {}
+                for word in _WORD.findall(batch.column(2)[i].as_py().lower()):
+                    for t in terms_of(word):
+                        found[t] = found.get(t, 0) + 1
+                yield pa.record_batch([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([list(found)], pa.list_(pa.string())), pa.array([list(found.values())], pa.list_(pa.int64()))], ["doc_id", "toxic", "terms", "counts"])
 
-    counted = toxic.select("text").mapInArrow(run, "term string, pos long").groupBy("term").agg(F.sum("pos").alias("pos"))
-    return counted.where(F.col("pos") >= LEAST_EXAMPLES).orderBy(F.desc("pos"), "term").limit(CANDIDATES)
+    return examples.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, terms array<string>, counts array<long>")
 
 
-def _frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> Counter:
-    """How many of docs have each term, by id."""
+def _frequencies(rows: DataFrame, terms: Callable[[], TermIds], size: int) -> tuple[int, np.ndarray]:
+    """How many rows there are, and how many have each term, added up by task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, counts = _terms(vocabulary), Counter()
+        ids, total, n = terms(), 0, np.zeros(size, dtype=np.int64)
         for batch in batches:
+            total += batch.num_rows
             for text in batch.column(0):
-                counts.update(ids.vector(text.as_py()).keys())
-        if counts:
-            yield pa.record_batch([pa.array(list(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return Counter({r["term"]: r["n"] for r in counted.collect()})
+                n[ids.counts(text.as_py())[0]] += 1
+        if total:
+            found = np.flatnonzero(n)
+            yield pa.record_batch([pa.array(np.append(found, -1)), pa.array(np.append(n[found], total))], ["term", "n"])
 
+    counted = rows.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = counted.column("term").to_numpy(), counted.column("n").to_numpy()
+    frequency = np.zeros(size)
+    frequency[term[term >= 0]] = n[term >= 0]
+    return int(n[term < 0].sum()), frequency
 
-def vectors(docs: DataFrame, vocabulary: dict[str, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, terms, counts of each row of docs."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _terms(vocabulary)
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Callable[[], Model]:
+    """The model, as a function that tasks call for it."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    known = checkpointed(rows.join(F.broadcast(checkpointed(taught(labels, sample))), "doc_id"))  # at most `sample` rows of three values are broadcast
+    examples = _example_terms(known.where("not calibrates")).toArrow().sort_by([("doc_id", "ascending")])
+    ids, toxic = examples.column("doc_id").to_numpy(), examples.column("toxic").to_numpy().astype(float)
+    terms, counts = examples.column("terms").combine_chunks(), examples.column("counts").combine_chunks()
+    coded = pc.dictionary_encode(terms.flatten())
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    example = np.repeat(np.arange(len(ids)), np.diff(terms.offsets.to_numpy()))
+    term, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+    n, m = int(toxic.sum()), int(len(toxic) - toxic.sum())
+    weight = np.zeros(len(words))
+    vocabulary = spark.sparkContext.broadcast({t: i for i, t in enumerate(words)})
+    if n and m:
+        pos = np.bincount(term, toxic[example], minlength=len(words))
+        total, frequency = _frequencies(rows, lambda: _terms(vocabulary), len(words))
+        weight = np.sqrt(g_squared(pos, n, np.bincount(term, minlength=len(words)) - pos, m)) * (np.log((1 + total) / (1 + frequency)) + 1)
+    index = Index(weight, ids, toxic, example, term, counts.flatten().to_numpy().astype(float))
+    model = Model(vocabulary.value, index)
+    shared = spark.sparkContext.broadcast(model)
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _model(shared)
         for batch in batches:
-            found = [ids.vector(t.as_py()) for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], ["doc_id", "terms", "counts"])
+            found = [f for texts, ids in _parts(batch, 0, 2) for f in model.nearest(texts, ids)]
+            yield pa.record_batch([pa.array([model.raw(f) if f else None for f in found], pa.float64()), batch.column(1)], ["raw", "toxic"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, terms array<int>, counts array<int>")
+    asked = known.where("calibrates").select("doc_id", "toxic", "text").mapInArrow(votes, "raw double, toxic int").where("raw is not null").orderBy("raw", "toxic").toArrow()
+    if asked.num_rows:
+        model.slope, model.offset = fit_logistic(np.array([logit(p) for p in asked.column("raw").to_pylist()]), asked.column("toxic").to_numpy().astype(float))
+    slope, offset = model.slope, model.offset
 
+    def fitted() -> Model:
+        model = _model(shared)
+        model.slope, model.offset = slope, offset
+        return model
 
-_remembered: dict[int, TermIds] = {}
+    return fitted
 
 
-def _terms(vocabulary: dict[str, int]) -> TermIds:
-    key = hash(frozenset(vocabulary.items()))
-    if key not in _remembered:
-        _remembered.clear()
-        _remembered[key] = TermIds(vocabulary)
-    return _remembered[key]
+def _terms(vocabulary) -> TermIds:
+    """A worker's term ids under a broadcast vocabulary."""
+    if _held.get("vocabulary") is not vocabulary.value:
+        _held.clear()
+        _held.update(vocabulary=vocabulary.value, terms=TermIds(vocabulary.value))
+    only(_held["terms"])
+    return _held["terms"]
 
 
-def examples_of(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """doc_id, toxic of the labelled rows that may be learned from, `most` at most: those of the smallest hash."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    each = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    return each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def _model(shared) -> Model:
+    _held.clear()
+    only(shared.value.terms)
+    return shared.value
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model, DataFrame]:
-    """The model, and the vectors of all docs."""
-    few = checkpointed(examples_of(labels, sample))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    taught = rows.join(F.broadcast(few), "doc_id")  # at most `sample` rows of two numbers
-    sizes = Counter({r["toxic"]: r["n"] for r in taught.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()})
-    n, m = sizes[1], sizes[0]
-    scored = []
-    if n and m:
-        pos = {r["term"]: r["pos"] for r in _candidates(taught.where("toxic = 1")).collect()}
-        ids = {t: i for i, t in enumerate(sorted(pos))}
-        neg = _frequencies(taught.where("toxic = 0"), ids)
-        scored = sorted((-g, t) for t, i in ids.items() if pos[t] * m > neg[i] * n and (g := g_squared(pos[t], n, neg[i], m)) >= significant(len(ids)))
-    vocabulary = {t: i for i, (_, t) in enumerate(scored[:TERMS])}
-    found = checkpointed(vectors(docs, vocabulary))
-    total = found.count()
-    frequency = {r["term"]: r["n"] for r in found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).collect()}
-    idf = np.array([math.log((1 + total) / (1 + frequency.get(i, 0))) + 1 for i in range(len(vocabulary))])
-    examples = [(r["doc_id"], r["toxic"], Counter(dict(zip(r["terms"], r["counts"], strict=True)))) for r in found.join(F.broadcast(few), "doc_id").collect()]
-    return Model(vocabulary, idf, sorted(examples, key=lambda e: (e[0], sorted(e[2].items())))), found
+#: What a worker holds of the vocabulary it used last.
+_held: dict[str, object] = {}
 
 
 SCHEMA = "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>"
@@ -316,30 +351,31 @@ _EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (the nearest examples) for each row of docs."""
-    model, found = fit(docs, labels, sample)
+    fitted = fit(docs, labels, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fitted()
         for batch in batches:
             scores, evidence = [], []
-            for doc_id, terms, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                s, near = model.score(Counter(dict(zip(terms, counts, strict=True))), doc_id)
-                scores.append(s)
-                evidence.append([{"doc_id": i, "cosine": c, "toxic": int(y)} for c, i, y in near[:EVIDENCE]])
+            for texts, ids in _parts(batch, 0, 1):
+                for s, near in model.score(texts, ids):
+                    scores.append(s)
+                    evidence.append([{"doc_id": i, "cosine": c, "toxic": int(y)} for c, i, y in near[:EVIDENCE]])
             yield pa.record_batch([batch.column(0), pa.array(scores, pa.float64()), pa.array(evidence, _EVIDENCE)], ["doc_id", "score", "evidence"])
 
-    scored = found.mapInArrow(run, SCHEMA)
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, SCHEMA)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs without the rows whose score reaches 0.5; all columns stay, and no row is shuffled."""
-    model, _ = fit(docs, labels, sample)
+    fitted = fit(docs, labels, sample)
     at = [f.name for f in docs.schema].index("text"), [f.name for f in docs.schema].index("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fitted()
         for batch in batches:
-            pairs = zip(batch.column(at[0]), batch.column(at[1]), strict=True)
-            keep = [model.score(model.terms.vector(t.as_py() or ""), i.as_py())[0] < 0.5 for t, i in pairs]
+            keep = [s < 0.5 for texts, ids in _parts(batch, at[1], at[0]) for s, _ in model.score(texts, ids)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

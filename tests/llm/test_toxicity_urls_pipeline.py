@@ -14,22 +14,77 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def test_index_finds_the_nearest_exactly():
+    """Ids, labels and cosines of the nearest, ties and own examples included, against all cosines."""
     rng = np.random.default_rng(3)
-    idf = rng.uniform(1, 5, 80)
-    examples = [(i, int(rng.random() < 0.3), Counter(rng.integers(0, 80, rng.integers(1, 12)).tolist())) for i in range(400)]
-    index = toxicity.Index(idf, examples)
-
-    def dense(counts):
-        v = np.zeros(80)
-        for t, n in counts.items():
-            v[t] = (1 + math.log(n)) * idf[t]
-        return v / np.linalg.norm(v)
-
-    for i, _, counts in examples[:60]:
-        cosines = [(-round(float(dense(counts) @ dense(c)), 12), j) for j, _, c in examples if j != i]
-        expected = [x for x in sorted(cosines) if x[0] < 0][: toxicity.K]
-        found = index.nearest(counts, i)
-        assert [round(-c, 9) for c, _, _ in found] == [round(c, 9) for c, _ in expected]
+    weight = np.where(rng.random(80) < 0.1, 0.0, rng.uniform(1, 5, 80))
+    counts = rng.integers(1, 4, (400, 80)) * (rng.random((400, 80)) < np.linspace(0.005, 0.4, 80))
+    counts[200:230] = counts[:30]  # ties
+    counts[399] = 0
+    example, term = np.nonzero(counts)
+    labels = (rng.random(400) < 0.3).astype(float)
+    ids = rng.permutation(1000)[:400].astype(np.int64)
+    index = toxicity.Index(weight, ids, labels, example, term, counts[example, term].astype(float))
+    dense = np.where(counts > 0, (1 + np.log(np.maximum(counts, 1))) * weight, 0.0)
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-300)
+    searched, asked = [], [*range(60), 399]
+    texts = [(np.flatnonzero(counts[at]), counts[at][counts[at] > 0].astype(float)) for at in asked]
+    for at, found in zip(asked, index.nearest(texts, ids[asked].tolist()), strict=True):
+        cosines = np.round(dense @ dense[at], 12)
+        expected = sorted((-c, i, y) for c, i, y in zip(cosines.tolist(), ids.tolist(), labels.tolist(), strict=True) if c > 0 and i != ids[at])[: toxicity.K]
+        assert [round(c, 9) for c, _, _ in found] == [round(-c, 9) for c, _, _ in expected]
+        close = [c for c, _, _ in expected]
+        if len({round(c, 9) for c in close}) == len({round(c, 12) for c in close}):
+            assert [x[1:] for x in found] == [x[1:] for x in expected]
+            searched.append(at)
+    assert len(searched) > 50
+
+
+def test_scores_equal_brute_force(spark):
+    """The whole fit and score, said again plainly."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i:03d}" for i in range(120)]
+    texts = {i: " ".join(rng.choice(words, rng.integers(0, 30))) + (" nastyword" * (i % 5 == 0) if i % 7 else "") for i in range(220)}
+    toxic = {i: int(i % 5 == 0) for i in range(0, 220, 2)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1, y) for i, y in toxic.items()], "doc_id long, quality int, toxic int")
+    found = {r["doc_id"]: r for r in toxicity.score(docs, labels).collect()}
+    roles = {r["doc_id"]: r["calibrates"] for r in toxicity.taught(labels).collect()}
+    assert set(roles) == {i for i in toxic if zlib.crc32(str(i).encode()) % 5}
+    counts = {i: Counter(x for w in t.split() for x in toxicity.terms_of(w)) for i, t in texts.items()}
+    examples = sorted(i for i, c in roles.items() if not c)
+    n, m = sum(toxic[i] for i in examples), sum(1 - toxic[i] for i in examples)
+
+    def weight(t):
+        a, b = (sum(t in counts[i] for i in examples if toxic[i] == y) for y in (1, 0))
+        if not a + b:
+            return 0.0
+        p = (a + b) / (n + m)
+        g = 2 * sum(k * math.log(k / (of * q)) for k, of, q in ((a, n, p), (n - a, n, 1 - p), (b, m, p), (m - b, m, 1 - p)) if k)
+        return math.sqrt(max(g, 0.0)) * (math.log((1 + len(texts)) / (1 + sum(t in c for c in counts.values()))) + 1)
+
+    weights = {t: weight(t) for t in {t for c in counts.values() for t in c}}
+    vectors = {}
+    for i, c in counts.items():
+        v = {t: (1 + math.log(k)) * weights[t] for t, k in c.items() if weights[t] > 0}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        vectors[i] = {t: x / norm for t, x in v.items()}
+    base = (n + 0.5) / (n + m + 1)
+
+    def near(i):
+        cosines = [(round(sum(x * vectors[j].get(t, 0.0) for t, x in vectors[i].items()), 12), j) for j in examples if j != i]
+        return sorted((-c, j) for c, j in cosines if c > 0)[: toxicity.K]
+
+    def raw(some):
+        return (sum(c * c * toxic[j] for c, j in some) + toxicity.BASE_WEIGHT * base) / (sum(c * c for c, _ in some) + toxicity.BASE_WEIGHT)
+
+    asked = [i for i, c in roles.items() if c and near(i)]
+    slope, offset = toxicity.fit_logistic(np.array([toxicity.logit(raw(near(i))) for i in asked]), np.array([toxic[i] for i in asked], dtype=float))
+    for i in texts:
+        some = near(i)
+        expected = 1 / (1 + math.exp(-(slope * toxicity.logit(raw(some)) + offset))) if some else base
+        assert found[i]["score"] == pytest.approx(expected, abs=1e-6)
+        assert [e["doc_id"] for e in found[i]["evidence"]] == [j for _, j in some[: toxicity.EVIDENCE]]
+        assert found[i]["predicted"] == (found[i]["score"] >= 0.5)
 
 
 def test_toxicity_holds_out_and_generalizes(spark):
