@@ -16,7 +16,8 @@ makes from a seed: filler, entities of each kind in the forms people write
 (addresses with "at" and "dot", grouped numbers, credentials), and things that
 look like them (dates, versions, amounts, codes).
 
-Defined results: a null text counts as empty, which has no spans. Offsets are
+Defined results: a null text counts as empty, which has no spans. Spans that the field adds have LONGEST_CHARS characters
+at most, and time is linear in a text's length. Offsets are
 code points, ends exclusive. Rows are independent, so ids may be null or
 repeated; an empty table gives no rows; other columns, whatever their names, are
 not read by `find` and all kept by `redact`.
@@ -43,12 +44,13 @@ from quillon.llm.common import text_or_empty
 #: The kinds, in the order of results; the last is found by the field alone.
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
-#: Tokens of an entity at most; tokens on each side of a trigger that belong to its window.
-LONGEST, REACH = 14, 15
+#: Tokens and characters of an entity at most; tokens on each side of a trigger that belong to its window.
+LONGEST, LONGEST_CHARS, REACH = 14, 2_000, 15
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: A match that starts within a run of digits could start with the run, so only starts of runs are tried.
+_IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
@@ -185,7 +187,7 @@ def candidates(text: str, tokens: list[Span], fixed: list[bool]) -> list[tuple[i
             continue
         digits = trigger = at = False
         for j in range(i, min(len(tokens), i + LONGEST)):
-            if fixed[j] or (j > i and "\n" in text[tokens[j - 1][1] : tokens[j][0]]) or (j > i and tokens[j][0] - tokens[j - 1][1] > 1):
+            if fixed[j] or (j > i and "\n" in text[tokens[j - 1][1] : tokens[j][0]]) or (j > i and tokens[j][0] - tokens[j - 1][1] > 1) or tokens[j][1] - tokens[i][0] > LONGEST_CHARS:
                 break
             word = words[j].lower()
             digits = digits or any(c.isdigit() for c in word)
@@ -269,19 +271,25 @@ def _logsum(x: list[float]) -> float:
 
 def _windows(text: str, base: dict[str, list[Span]]) -> Iterator[tuple[list[Span], list[bool]]]:
     """Tokens around triggers, and whether a base span touches each."""
+    found = triggers(text)
+    if not found:
+        return
     spans = sorted(s for k in BASE for s in base[k])
     ends = list(accumulate((e for _, e in spans), max))
-    windows: list[list[int]] = []
-    for at in triggers(text):
+    every = tokens_of(text)
+    starts = [a for a, _ in every]
+    windows: list[list[int]] = []  # of numbers of tokens
+    for at in found:
+        n = bisect_right(starts, at) - 1
         # far enough back and on to hold every entity that contains the trigger, and the words it looks at
-        a, b = _back(text, at, REACH + 4), _on(text, at, REACH)
+        a, b = max(0, n - REACH - 4), n + REACH + 1
         if windows and a <= windows[-1][1]:
-            windows[-1][1] = max(b, windows[-1][1])
+            windows[-1][1] = b
         else:
             windows.append([a, b])
     for a, b in windows:
-        tokens = tokens_of(text, a, b)
-        first, fixed = bisect_right(ends, a), []
+        tokens = every[a:b]
+        first, fixed = bisect_right(ends, tokens[0][0]), []
         for start, end in tokens:
             while first < len(spans) and ends[first] <= start:
                 first += 1
@@ -294,29 +302,6 @@ def _windows(text: str, base: dict[str, list[Span]]) -> Iterator[tuple[list[Span
             yield tokens, fixed
 
 
-def _on(text: str, at: int, tokens: int) -> int:
-    """The end of the `tokens`-th token from `at`, not in the middle of a word."""
-    end = at
-    for _ in range(tokens):
-        if not (m := _TOKEN.search(text, end)):
-            return len(text)
-        end = m.end()
-    return end
-
-
-def _back(text: str, at: int, tokens: int) -> int:
-    """A start about `tokens` tokens before `at`, at white space or the text's start."""
-    start = at
-    for _ in range(tokens):
-        space = max(text.rfind(" ", 0, start), text.rfind("\n", 0, start))
-        if space < 0:
-            return 0
-        start = space
-        while start and text[start - 1].isspace():  # a run of white space is one step
-            start -= 1
-    return start
-
-
 def added_spans(text: str, base: dict[str, list[Span]], field: Field) -> list[tuple[str, int, int]]:
     """kind, start, end of what the field finds besides the base spans."""
     out = []

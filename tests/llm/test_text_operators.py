@@ -1,7 +1,9 @@
 """Operators that look at one text at a time, against the libraries or brute force."""
 
+import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -101,6 +103,46 @@ def test_base_patterns_equal_the_regexes():
     assert pii.base_spans("a" * 200_000 + "@")["email"] == []
 
 
+def plain_base(text):
+    """The contract's base spans, by its patterns as they stand."""
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+
+    def luhn(number):
+        doubled = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(number))]
+        return sum(d - 9 * (d > 9) for d in doubled) % 10 == 0
+
+    return {
+        "email": [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)],
+        "ip": [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))],
+        "card": [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 13 <= len(digits(m)) <= 19 and luhn(digits(m))],
+        "phone": [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m)) <= 15],
+    }
+
+
+def test_base_columns_of_the_query_equal_brute_force(spark):
+    rng = random.Random(4)
+    parts = ["a.b@c.org", "x@y", "@", "1.2.3.4", "300.1.1.1", "1.2.3.4.5.6.7.8.9", "0001.2.3.004", "4111 1111 1111 1111", "4111-1111-1111-1112", "123456789012345678901", "+1 (555) 555-0100", "+49", "+1..2", "+12 34 56 78 9", "é", "text", "12", " ", "-", ".", "٣"]
+    texts = ["".join(rng.choice((" ", "", "", "\n")) + rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(1500)] + [None, ""]
+    found = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        base = plain_base(text or "")
+        written = ",".join(f"{k}:{a}:{b}" for k in pii.BASE for a, b in base[k])
+        assert [found[i][f"n_{k}"] for k in pii.BASE] == [len(base[k]) for k in pii.BASE], text
+        assert found[i]["base_sha256"] == hashlib.sha256(written.encode()).hexdigest(), text
+        assert set(written.split(",")) - {""} <= set(found[i]["spans"].split(",")), text
+
+
+@pytest.mark.parametrize("unit,n", [("7", 1_000_000), ("1.", 20_000), ("at ", 200_000), ("a1-", 20_000), ("+1 ", 20_000), ("x@a.", 20_000)])
+def test_personal_data_of_very_long_texts_takes_linear_time(unit, n):
+    text, field = unit * (n // len(unit)), pii.trained()
+    began = time.process_time()
+    pii.all_spans(text[: n // 8], field)
+    small = time.process_time() - began
+    began = time.process_time()
+    pii.all_spans(text, field)
+    assert time.process_time() - began < 16 * small + 1
+
+
 def test_field_finds_what_it_was_not_trained_on():
     field, hits, wrong, missed = pii.trained(), 0, 0, 0
     for text, spans in pii.sentences(200, seed=12345):
