@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), where docs is what the stage before it
 kept, and returns a DataFrame with the columns of documents; the last returns
-the pieces of packed sequences. Rows without a doc_id pass the dedup stages.
+the pieces of packed sequences. Null and empty texts are texts like others: all
+but one of them go in exact dedup. Rows without a doc_id are compared with none,
+and stay; repeated rows of one doc_id and text stay together, as dedup decides by
+doc_id. Extra columns, whatever their names, are kept up to packing. An empty
+table gives no pieces.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import exact_dedup, near_dedup, packing, pii, toxicity
-from quillon.llm.common import table
+from quillon.llm.common import checkpointed, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +50,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES, one after the other, over documents."""
+    """STAGES, one after the other, over documents; what a stage keeps is written before the next one reads it."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
