@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import weakref
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,10 +58,19 @@ _remembered: list[weakref.ref] = []
 
 
 def only(*used: Remembered) -> None:
-    """Forgets what this worker remembers for operators whose tasks it ran before; called when a task begins."""
+    """Forgets what this worker remembers for operators whose tasks it ran before, and gives its memory back; called when a task begins."""
+    gone = False
     for ref in _remembered:
-        if (memory := ref()) is not None and not any(memory is u for u in used):
+        if (memory := ref()) is not None and memory and not any(memory is u for u in used):
             memory.clear()
+            gone = True
+    pa.default_memory_pool().release_unused()
+    if gone:
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not the GNU C library
+            pass
 
 
 def text_or_empty(column: str = "text"):

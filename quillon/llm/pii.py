@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import text_or_empty
+from quillon.llm.common import only, text_or_empty
 
 #: The kinds, in the order of results; the last is found by the field alone.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -417,6 +417,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     weights = trained().weights  # a few hundred numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         field = Field(weights)
         for batch in batches:
             rows = []
@@ -450,6 +451,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars")
     at = schema.names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         field = Field(weights)
         for batch in batches:
             texts = [None if (t := x.as_py()) is None else redacted(t, field) for x in batch.column(at)]

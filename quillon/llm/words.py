@@ -8,7 +8,7 @@ import xxhash
 from quillon.llm.common import Remembered
 
 #: Words that a worker remembers.
-MOST = 600_000
+MOST = 400_000
 #: Multipliers of the run hashes (fixed odd numbers).
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
