@@ -27,7 +27,7 @@ def long(docs: DataFrame) -> DataFrame:
         F.struct(
             F.lit(name).alias("tell"), F.lit(i).alias("ord"), F.col(name).alias("n"),
             T.per_1000(F.col(name), F.col("words")).alias("rate"),
-            F.substring(T.trim(T.first(F.col("body"), p)), 1, 220).alias("span"),
+            F.when(F.col(name) > 0, F.substring(T.trim(T.first(F.col("body"), p)), 1, 220)).otherwise(F.lit("")).alias("span"),
         )
         for i, (name, p) in enumerate((n, P.TELLS[n]) for n in P.TELL_META if n in P.TELLS)
     ]
@@ -65,14 +65,14 @@ def findings(docs: DataFrame, norm: DataFrame | None = None) -> DataFrame:
     if norm is None:
         prior = meta(2, F.col("tell"))
         severity = F.when(prior >= 0.5, "high").when(prior >= 0.3, "medium").otherwise("low")
-        message = F.concat(count, F.lit(" — a deterministic AI-writing tell; cut or vary it."))
+        message = F.concat(count, F.lit(" — reads like a machine's habit; vary it or leave it out."))
     else:
         scale = F.when(F.col("std") == 0, F.lit(1.0)).otherwise(F.col("std"))
         rows = rows.join(F.broadcast(norm), "tell")  # a row a tell
         rows = rows.withColumn("z", (F.col("rate") - F.col("mean")) / scale).where("z > 1")
         severity = F.when(F.col("z") >= 3, "high").when(F.col("z") >= 2, "medium").otherwise("low")
         how = F.when(F.col("z") >= 3, "far above").when(F.col("z") >= 2, "well above").otherwise("above")
-        message = F.concat(count, F.lit(" — "), how, F.lit(" your corpus norm; pull back toward your own rate."))
+        message = F.concat(count, F.lit(" — "), how, F.lit(" your corpus norm; use it less."))
     return rows.select(
         "doc_id", "ord", severity.alias("severity"), meta(1, F.col("tell")).alias("dimension"), F.col("tell").alias("rule"),
         F.lit(None).cast("long").alias("paragraph"), F.lit(None).cast("long").alias("sentence"), "span", message.alias("message"),

@@ -104,12 +104,12 @@ NORM = f"norm as ({' union all '.join(f'select {quoted(n)} as tell, avg(rate_{n}
 RATED = f"rated as (select doc_id, {', '.join(f'{per_1000(n, "words")} as rate_{n}' for n in P.TELLS)} from counts)"
 ABSOLUTE = f"""{LONG},
 findings as (select doc_id, ord, case when prior >= 0.5 then 'high' when prior >= 0.3 then 'medium' else 'low' end as severity, dimension, tell as rule,
-  null::bigint as paragraph, null::bigint as sentence, span, n || '× ' || label || ' — a deterministic AI-writing tell; cut or vary it.' as message from long where n > 0)"""
+  null::bigint as paragraph, null::bigint as sentence, span, n || '× ' || label || ' — reads like a machine''s habit; vary it or leave it out.' as message from long where n > 0)"""
 RELATIVE = f"""{LONG}, {RATED}, {NORM},
 z as (select *, (rate - mean) / case when std = 0 then 1 else std end as z from long join norm using (tell) where n > 0),
 findings as (select doc_id, ord, case when z >= 3 then 'high' when z >= 2 then 'medium' else 'low' end as severity, dimension, tell as rule,
   null::bigint as paragraph, null::bigint as sentence, span, n || '× ' || label || ' — ' ||
-  case when z >= 3 then 'far above' when z >= 2 then 'well above' else 'above' end || ' your corpus norm; pull back toward your own rate.' as message from z where z > 1)"""
+  case when z >= 3 then 'far above' when z >= 2 then 'well above' else 'above' end || ' your corpus norm; use it less.' as message from z where z > 1)"""
 
 
 def result(weights: dict[str, float], docs: str = "spiked") -> str:

@@ -97,3 +97,13 @@ def test_rules_of_parts_of_speech(spark, relation, text, fires):
 def test_shares_of_parts_of_speech_sum_to_one(spark):
     rows = annotate.pos_rates(annotate.tokens(docs(spark, CLEAN))).groupBy("doc_id").sum("rate").collect()
     assert rows[0][1] == pytest.approx(1.0)
+
+
+def test_schimel_report_says_what_was_found(spark):
+    d = docs(spark, "The NATO plan proves it, a, b, c, d.", "a, b, c, d, e. 1.0 2.0 3.0 4.0 5% 6%.")
+    found = rules.findings(d)
+    assert found.where("message is null or message like '%\\%d%'").count() == 0
+    reports = {r["doc_id"]: r["report"] for r in rubric.render(rubric.result(d, found, rubric.SCHIMEL), found, "schimel", rubric.SCHIMEL).collect()}
+    assert all(r.startswith("schimel: FAIL (") and "Top findings" in r for r in reports.values())
+    single = {(r["doc_id"], n, r["message"]) for n in rules.TEXT_RULES for r in rules.rule(d, n).collect()}
+    assert {(r["doc_id"], r["rule"], r["message"]) for r in found.collect()} == single
