@@ -108,6 +108,12 @@ TELL_META: dict[str, tuple[str, str, float]] = {
     "staccato_run": ("staccato run (3+ consecutive sentences under 8 words)", "rhythm", 0.30),
 }
 
+# What stands before and after the text of a Project Gutenberg book.
+BOOK: tuple[tuple[Pattern, str], ...] = (
+    (Pattern(r"\A.*?\*\*\*\s*START OF (?:THE|THIS) PROJECT GUTENBERG EBOOK.*?\*\*\*", "is"), ""),
+    (Pattern(r"\*\*\*\s*END OF (?:THE|THIS) PROJECT GUTENBERG EBOOK.*\z", "is"), ""),
+)
+
 # Markup, in the order in which it is taken away, with what replaces a match ($1: its first group).
 FRONTMATTER_STRICT = Pattern(r"\A---\n.*?\n---\n", "s")
 FRONTMATTER = Pattern(r"\A---[ \t]*\n.*?\n---[ \t]*\n?", "s")

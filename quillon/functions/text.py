@@ -109,6 +109,20 @@ def sentences(paragraph: Column, least: int = 1) -> Column:
     return F.transform(F.filter(F.split(paragraph, r"(?dU)(?<=[.!?])\s+"), lambda s: tokens(s) >= least), trim)
 
 
+def _cut(text: Column) -> Column:
+    """Where the line that closes the front matter begins (its line feed, from 1); 0 without front matter."""
+    return F.when(text.startswith("---\n"), F.instr(text, "\n---\n")).otherwise(0)
+
+
+def front_matter(text: Column) -> Column:
+    """The front matter with its two lines of dashes, or nothing."""
+    return F.when(_cut(text) > 0, F.substr(text, F.lit(1), _cut(text) + 4)).otherwise(F.lit(""))
+
+
+def after_front_matter(text: Column) -> Column:
+    return trim(F.when(_cut(text) > 0, F.substr(text, _cut(text) + 5)).otherwise(text))
+
+
 def slug(name: Column) -> Column:
     """A file name: lower-case runs of letters and digits, joined by hyphens."""
     return F.regexp_replace(F.regexp_replace(F.lower(trim(name)), "[^a-z0-9]+", "-"), "^-+|-+$", "")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions import patterns as P
 from quillon.functions import vectors as V
 
 #: Exemplars that a profile may have for its vectors to be broadcast; beyond that Spark shuffles.
@@ -73,6 +74,12 @@ def confidence(features: DataFrame) -> DataFrame:
     return stats.select("name", (r * r).alias("confidence"))
 
 
+def floored(weights: DataFrame) -> DataFrame:
+    """weights (name, confidence) with each tell's confidence raised to its prior weight."""
+    priors = F.create_map(*(F.lit(x) for tell, meta in P.TELL_META.items() for x in (f"tell_{tell}", meta[2])))
+    return weights.select("name", F.greatest("confidence", priors[F.col("name")]).alias("confidence"))
+
+
 def direction(z: DataFrame, weights: DataFrame, most: int = 6, least: float = 0.20) -> DataFrame:
     """id, place, name, move of the named features that would bring a draft closer.
 
@@ -105,15 +112,15 @@ def _in_order() -> Window:
     return Window.partitionBy("doc").orderBy("i")
 
 
-def adjacent(rows: DataFrame) -> DataFrame:
-    """doc, i, similarity of each vector (doc, i, v) to the one before it."""
-    rows = rows.withColumn("before", F.lag("v").over(_in_order())).where("before is not null")
+def adjacent(rows: DataFrame, lag: int = 1) -> DataFrame:
+    """doc, i, similarity of each vector (doc, i, v) to the one `lag` before it."""
+    rows = rows.withColumn("before", F.lag("v", lag).over(_in_order())).where("before is not null")
     return rows.select("doc", "i", V.cosine(F.col("before"), F.col("v")).alias("similarity"))
 
 
-def coherence(rows: DataFrame) -> DataFrame:
-    """doc, coherence: the mean similarity of neighbours; 0 for fewer than two."""
-    found = adjacent(rows).groupBy("doc").agg(F.avg("similarity").alias("coherence"))
+def coherence(rows: DataFrame, lag: int = 1) -> DataFrame:
+    """doc, coherence: the mean similarity of vectors `lag` apart; 0 without any."""
+    found = adjacent(rows, lag).groupBy("doc").agg(F.avg("similarity").alias("coherence"))
     return rows.select("doc").distinct().join(found, "doc", "left").select("doc", F.coalesce("coherence", F.lit(0.0)).alias("coherence"))
 
 
@@ -204,3 +211,23 @@ def auc(scores: DataFrame) -> DataFrame:
     below = F.coalesce(F.sum("neg").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = by.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
     return ranked.agg((F.sum("won") / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+
+
+def permuted_auc(scores: DataFrame, rounds: int = 200, seed: int = 0) -> DataFrame:
+    """One row auc: the mean over seeded permutations of the labels y of scores (id, score, y), the level of chance."""
+    ranks = scores.groupBy("score").agg(F.count(F.lit(1)).alias("ties"))
+    ranks = ranks.withColumn("rank", F.coalesce(F.sum("ties").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + (F.col("ties") + 1) / 2)
+    ranked = scores.join(ranks, "score").crossJoin(F.broadcast(scores.agg(F.sum("y").alias("pos"), (F.count(F.lit(1)) - F.sum("y")).alias("neg"))))  # one row
+    each = ranked.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    order = Window.partitionBy("round").orderBy(F.xxhash64("id", "y", "round", F.lit(seed)), "id", "y")
+    drawn = each.withColumn("n", F.row_number().over(order)).where("n <= pos")
+    by = drawn.groupBy("round", "pos", "neg").agg(((F.sum("rank") - F.first("pos") * (F.first("pos") + 1) / 2) / (F.first("pos") * F.first("neg"))).alias("auc"))
+    return by.agg(F.avg("auc").alias("auc"))
+
+
+def weighted(rows: DataFrame, value: Column, weight: Column) -> DataFrame:
+    """One row mean, spread: the weighted mean and population deviation, from two passes of partial sums."""
+    rows = rows.select(value.alias("x"), weight.alias("w"))
+    mean = rows.agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mean"))
+    apart = F.col("x") - F.col("mean")
+    return rows.crossJoin(F.broadcast(mean)).agg(F.max("mean").alias("mean"), F.sqrt(F.sum(F.col("w") * apart * apart) / F.sum("w")).alias("spread"))  # mean is one row

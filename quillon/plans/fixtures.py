@@ -66,9 +66,15 @@ def spiked_sql(text: str = "text", doc_id: str = "doc_id") -> str:
     return f"concat({front}, {paragraphs}, case when {doc_id} % 7 = 6 then '' else {spike} end)"
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs, dealt to all cores where a small file would leave most of them without work."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, text (spiked), lang, source."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
     return docs.select("doc_id", F.expr(spiked_sql()).alias("text"), "lang", "source")
 
 

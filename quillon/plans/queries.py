@@ -65,15 +65,24 @@ on_text("strip_latex_noise", T.strip_latex, sql.chain("text", P.LATEX_NOISE))
 on_text("normalize_detex", T.normalize_detex, sql.trim(sql.chain("text", P.DETEX)))
 on_text("detex_text", T.plain_tex, None)
 on_text("preprocess_runtime_text", T.prepared, None)
-on_text("slug_filename", lambda t: T.slug(F.substring(t, 1, 40)), f"regexp_replace(regexp_replace(lower({sql.trim('left(text, 40)')}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')")
-on_text("normalize_profile_name", lambda t: F.regexp_replace(F.lower(T.trim(F.substring(t, 1, 12))), " ", "-").rlike("^[a-z0-9][a-z0-9_-]*$"), f"regexp_matches(replace(lower({sql.trim('left(text, 12)')}), ' ', '-'), '^[a-z0-9][a-z0-9_-]*$')")
-# the same of whole texts
-on_text("file_name", T.file_name, f"coalesce(nullif(regexp_replace(regexp_replace(lower({sql.trim('text')}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'document')")
+on_text("slug_filename", T.file_name, f"coalesce(nullif(regexp_replace(regexp_replace(lower({sql.trim('text')}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'document')")
 on_docs(
-    "profile_name",
+    "normalize_profile_name",
     lambda d: d.select("doc_id", T.profile_name(F.col("text")).alias("value"), T.valid_profile_name(F.col("text")).alias("valid")),
     f"with {sql.SPIKED}, n as (select doc_id, replace(lower({sql.trim('text')}), ' ', '-') as value from spiked) select doc_id, value, regexp_matches(value, '^[a-z0-9][a-z0-9_-]*$') as valid from n",
 )
+on_docs(
+    "split_frontmatter",
+    lambda d: d.select("doc_id", T.front_matter(F.col("text")).alias("front"), T.after_front_matter(F.col("text")).alias("body")),
+    f"""with {sql.SPIKED}, p as (select doc_id, text, case when starts_with(text, '---' || chr(10)) then instr(text, chr(10) || '---' || chr(10)) else 0 end as at_ from spiked)
+select doc_id, case when at_ > 0 then left(text, at_ + 4) else '' end as front, {sql.trim("case when at_ > 0 then substr(text, at_ + 5) else text end")} as body from p""",
+)
+_BOOK = "concat('Licence. *** START OF THE PROJECT GUTENBERG EBOOK ', doc_id, ' ***', text, '*** end of this Project Gutenberg eBook ', doc_id, ' *** More licence.')"
+on_docs(
+    "strip_gutenberg",
+    lambda d: d.select("doc_id", T.chain(F.expr(_BOOK), P.BOOK).alias("value")),
+    f"with {sql.SPIKED} select doc_id, {sql.chain(_BOOK, P.BOOK)} as value from spiked",
+)
 on_text("word_count", T.words, f"len({sql.words('text')})")
 
 # Tells
@@ -202,5 +211,11 @@ on_docs(
     lambda d: prose.paragraphs(d).select("doc_id", F.col("pi").cast("long").alias("pi"), (T.count(F.col("para"), _R["citation"]) / F.greatest(T.tokens(F.col("para")), F.lit(1))).alias("value")),
     f"with {sql.PARAS} select doc_id, pi, {sql.count('para', _R['citation'])}::double / greatest({sql.tokens('para')}, 1) as value from paras",
 )
-on_docs("schimel_findings", lambda d: rules.findings(d), None)
-on_docs("schimel_result", lambda d: rubric.result(d, rules.findings(d), rubric.SCHIMEL), None)
+_ALL = " union all ".join(
+    f"select doc_id, {i * 1000}::bigint + place as ord, severity, '{dimension}' as dimension, '{rule}' as rule, paragraph, sentence, span from ({SQL[rule]}) q{i}"
+    for i, (rule, (_, dimension, _)) in enumerate(rules.TEXT_RULES.items())
+)
+_SCHIMEL = f"doc_id, overall, verdict, {', '.join(f'dim_{d}' for d in rubric.SCHIMEL)}, findings"
+on_docs("schimel_findings", lambda d: rules.findings(d).withColumn("ord", F.col("ord").cast("long")).drop("message"), _ALL)
+on_docs("schimel_result", lambda d: rubric.result(d, rules.findings(d), rubric.SCHIMEL), f"with {sql.SPIKED}, findings as ({_ALL}), {sql.result(rubric.SCHIMEL)} select {_SCHIMEL} from results")
+on_docs("schimel_report", lambda d: (lambda found: rubric.render(rubric.result(d, found, rubric.SCHIMEL), found, "schimel", rubric.SCHIMEL))(rules.findings(d)), None)

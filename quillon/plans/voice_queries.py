@@ -85,6 +85,12 @@ sims as (select doc, i, list_cosine_similarity(v, b) as similarity from adj wher
 select doc, i, round(similarity, 6) as similarity, case when similarity < 0.25 then 'medium' else 'low' end as severity from sims where similarity < 0.35""")
 _ADJ = f"""{_E}, adj as (select profile as doc, id as i, v, lag(v) over (partition by profile order by id) as b from e)"""
 _register("flow_coherence", lambda s, d: voice.coherence(_ordered(s, d)), f"with {_ADJ} select doc, round(coalesce(avg(list_cosine_similarity(v, b)), 0), 6) as coherence from adj group by doc")
+for _name, _lag in (("coh_first_order_coherence", 1), ("coh_second_order_coherence", 2)):
+    _register(
+        _name,
+        lambda s, d, k=_lag: voice.coherence(_ordered(s, d), k),
+        f"with {_E}, adj as (select profile as doc, v, lag(v, {_lag}) over (partition by profile order by id) as b from e) select doc, round(coalesce(avg(list_cosine_similarity(v, b)), 0), 6) as coherence from adj group by doc",
+    )
 _register("point_nowhere_paragraph", lambda s, d: voice.coherence(_ordered(s, d)).where("coherence < 0.25"), f"with {_ADJ} select doc, round(avg(list_cosine_similarity(v, b)), 6) as coherence from adj group by doc having avg(list_cosine_similarity(v, b)) < 0.25")
 _NOVELTY = """c as (select profile as doc, id as i, axis, x, avg(x) over (partition by profile, axis order by id rows between unbounded preceding and 1 preceding) as c from x),
 nov as (select doc, i, 1 - sum(x * c) / (sqrt(sum(c * c)) + 1e-9) as novelty from c where c is not null group by doc, i)"""
@@ -113,12 +119,6 @@ _register("content_similarity", lambda s, d: _next(s, d).select("id", V.cosine(F
 _register("preserves_content", lambda s, d: _next(s, d).select("id", (V.cosine(F.col("a"), F.col("b")) >= 0.85).alias("preserved")), f"with {_PAIRS} select id, similarity >= 0.85 as preserved from p")
 _register(
     "evaluate_rewrite",
-    lambda s, d: _next(s, d).join(_drafts(s, d).withColumnRenamed("distance", "before"), "id").join(_drafts(s, d).select((F.col("id") - 1).alias("id"), F.col("distance").alias("after")), "id").select("id", "before", "after", ((V.cosine(F.col("a"), F.col("b")) >= 0.25) & (F.col("after") < F.col("before"))).alias("accepted")),
-    f"with {_AXES}, {_KNN}, p as (select a.id, list_cosine_similarity(a.v, b.v) as similarity from e a join e b on b.id = a.id + 1) select p.id, round(x.distance, 6) as before, round(y.distance, 6) as after, similarity >= 0.25 and y.distance < x.distance as accepted from p join knn x on x.id = p.id join knn y on y.id = p.id + 1",
-)
-# evaluate_rewrite with the reference's threshold
-_register(
-    "evaluate_rewrite_reference",
     lambda s, d: _next(s, d).join(_drafts(s, d).withColumnRenamed("distance", "before"), "id").join(_drafts(s, d).select((F.col("id") - 1).alias("id"), F.col("distance").alias("after")), "id").select("id", "before", "after", ((V.cosine(F.col("a"), F.col("b")) >= 0.85) & (F.col("after") < F.col("before"))).alias("accepted")),
     f"with {_AXES}, {_KNN}, p as (select a.id, list_cosine_similarity(a.v, b.v) as similarity from e a join e b on b.id = a.id + 1) select p.id, round(x.distance, 6) as before, round(y.distance, 6) as after, similarity >= 0.85 and y.distance < x.distance as accepted from p join knn x on x.id = p.id join knn y on y.id = p.id + 1",
 )
@@ -126,8 +126,8 @@ _register("challenge_answered", lambda s, d: _ordered(s, d).groupBy("doc").agg(V
 _register("closing_the_circle", lambda s, d: _ordered(s, d).groupBy("doc").agg(V.cosine(F.min_by("v", "i"), F.max_by("v", "i")).alias("similarity")).where("similarity < 0.15"), f"with {_E}, c as (select profile as doc, list_cosine_similarity(min_by(v, id), max_by(v, id)) as s from e group by profile) select doc, round(s, 6) as similarity from c where s < 0.15")
 _register(
     "inconsistent_terminology",
-    lambda s, d: (lambda r: r.join(voice.small(r.select("profile", F.col("id").alias("other"), F.col("v").alias("w"))), "profile").where("id < other").select("profile", "id", "other", V.cosine(F.col("v"), F.col("w")).alias("similarity")).where("similarity >= 0.35"))(_vectors(s, d)),
-    f"with {_E} select a.profile, a.id, b.id as other, round(list_cosine_similarity(a.v, b.v), 6) as similarity from e a join e b on a.profile = b.profile and a.id < b.id where list_cosine_similarity(a.v, b.v) >= 0.35",
+    lambda s, d: (lambda r: r.join(voice.small(r.select("profile", F.col("id").alias("other"), F.col("v").alias("w"))), "profile").where("id < other").select("profile", "id", "other", V.cosine(F.col("v"), F.col("w")).alias("similarity")).where("similarity >= 0.55"))(_vectors(s, d)),
+    f"with {_E} select a.profile, a.id, b.id as other, round(list_cosine_similarity(a.v, b.v), 6) as similarity from e a join e b on a.profile = b.profile and a.id < b.id where list_cosine_similarity(a.v, b.v) >= 0.55",
 )
 _register("diagnose_profile", lambda s, d: voice.diagnose(_vectors(s, d)), f"""with {_E},
 pairs as (select a.profile, a.id, list_cosine_similarity(a.v, b.v) as c, list_distance(a.v, b.v) as d from e a join e b on a.profile = b.profile and a.id <> b.id),
@@ -144,6 +144,21 @@ s as (select distance, 1 as y from loo union all select distance, 0 from knn whe
 select round(avg(case when a.distance < b.distance then 1.0 when a.distance = b.distance then 0.5 else 0.0 end)::double, 6) as auc from s a, s b where a.y = 1 and b.y = 0""")
 
 
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    """id, score, y of exemplars, each left out, and contrast."""
+    rows, axes, train = _fit(spark, d)
+    own = voice.knn(train, train, apart=True).select("id", (-F.col("distance")).alias("score"), F.lit(1).alias("y"))
+    return own.unionByName(voice.knn(voice.standardized(rows.where("profile = 1"), axes), train).select("id", (-F.col("distance")).alias("score"), F.lit(0).alias("y")))
+
+
+_register("permutation_baseline", lambda s, d: voice.permuted_auc(_scores(s, d)), None)
+_register(
+    "weighted_mean_spread",
+    lambda s, d: voice.weighted(s.read.parquet(f"{d}/lineitem.parquet"), F.col("l_extendedprice").cast("double"), F.col("l_quantity").cast("double")),
+    "with m as (select sum(l_quantity::double * l_extendedprice::double) / sum(l_quantity::double) as mean from lineitem) select round(max(mean), 6) as mean, round(sqrt(sum(l_quantity::double * (l_extendedprice::double - mean) * (l_extendedprice::double - mean)) / sum(l_quantity::double)), 6) as spread from lineitem, m",
+)
+
+
 # Features by name: tells of labelled documents
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     labels = spark.read.parquet(f"{d}/labels.parquet").groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
@@ -166,11 +181,12 @@ _register("feature_confidence", lambda s, d: voice.confidence(_labelled(s, d)),
 def _direction(spark: SparkSession, d: str) -> DataFrame:
     rows = _labelled(spark, d)
     z = rows.where("y = 0").join(F.broadcast(_norms(rows)), "name").select(F.col("doc_id").alias("id"), "name", ((F.col("value") - F.col("mean")) / F.col("spread")).alias("z"))
-    return voice.direction(z, voice.confidence(rows).select("name", F.greatest("confidence", F.lit(0.2)).alias("confidence")))
+    return voice.direction(z, voice.floored(voice.confidence(rows)))
 
 
 _register("voice_direction", _direction, f"""with {_LABELLED},
-imp as (select doc_id as id, name, z, greatest(confidence, 0.2) as confidence, case when z <= 0 then 0 else greatest(confidence, 0.2) * abs(z) end as importance from zs join conf using (name)),
+floored as (select name, greatest(confidence, prior) as confidence from conf join meta on name = 'tell_' || tell),
+imp as (select doc_id as id, name, z, confidence, case when z <= 0 then 0 else confidence * abs(z) end as importance from zs join floored using (name)),
 r as (select *, row_number() over (partition by id order by round(importance, 9) desc, name) as place from imp)
 select id, place, name, 'fewer' as move from r where place <= 6 and importance > 0 and confidence >= 0.2""")
 _register(

@@ -72,7 +72,7 @@ def test_names_of_whole_texts(spark):
         con.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
     texts = {r["doc_id"]: r["text"] for r in fixtures.documents(spark, small).collect()}
     assert any(len(t) > 40 for t in texts.values() if t)
-    for name in ("file_name", "profile_name"):
+    for name in ("slug_filename", "normalize_profile_name"):
         rows = queries.QUERIES[name](spark, small)
         found = sorted(tuple(r) for r in rows.collect())
         assert found == sorted(con.execute(f"select {', '.join(rows.columns)} from ({queries.SQL[name]}) q").fetchall())
