@@ -12,8 +12,8 @@ no task holds an unbounded cell; pairs never become rows. A task counts a pair
 in the first table where it meets (each row carries its cells in all tables),
 and passes on each vector's count and a spanning forest of the links.
 
-Defined results: vectors that are null, zero, of another length than most, or
-hold null or non-finite components link with nothing. Rows without an id are
+Defined results: vectors that are null, zero, or hold null or non-finite
+components link with nothing, and vectors of different lengths do not link. Rows without an id are
 left out of links and are their own component (null). Rows that repeat an id
 and its vector are copies of each other, and count as linked; an id with
 different vectors has one row for each input row and the component of the
@@ -30,6 +30,7 @@ from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -155,12 +156,10 @@ def near_vectors(vectors: DataFrame, least: float = SIMILARITY, id_col: str = "v
     """vec_id, n_links, component_id, kept for each row of vectors."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    common = rows.where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False))).groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    dim = common[0]["n"] if common else 0
-    valid = F.col("vec_id").isNotNull() & F.coalesce(finite & (F.size("v") == dim), F.lit(False))
+    valid = F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False))
     rows = rows.withColumn("v", F.when(valid, F.col("v")))
     classes = checkpointed(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight")))
-    counted, links = _links(classes, dim, least, cell_rows)
+    counted, links = _links(classes, least, cell_rows)
     of_class = classes.join(counted, "id", "left").select(F.col("v").alias("of"), "id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     found = rows.join(of_class, F.col("v") == F.col("of"), "left").select("vec_id", "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     # an id joins its classes, so an id that stands for several vectors links them
@@ -170,19 +169,23 @@ def near_vectors(vectors: DataFrame, least: float = SIMILARITY, id_col: str = "v
     return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _links(classes: DataFrame, dim: int, least: float, cell_rows: int) -> tuple[DataFrame, DataFrame]:
-    """id, links of classes (v, id, weight) that are linked to others; and links a, b that join them."""
+def _links(classes: DataFrame, least: float, cell_rows: int) -> tuple[DataFrame, DataFrame]:
+    """id, links of classes (v, id, weight) that are linked to others; and links a, b that join them.
+
+    Vectors meet those of their own length only: t is the table and, TABLES times, the length.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 4096):
-                part = batch.slice(a, 4096)
+            lengths = pc.list_value_length(batch.column(0)).to_numpy(zero_copy_only=False)
+            for dim, a in ((int(dim), a) for dim in np.unique(lengths) for a in range(0, int((lengths == dim).sum()), 4096)):
+                part = batch.take(pa.array(np.flatnonzero(lengths == dim)[a : a + 4096]))
                 sign = cells(_unit(_matrix(part.column(0), dim)))
                 n, names = len(sign), pa.array(sign.reshape(-1).astype(np.uint32).view(np.int32), pa.int32())
                 signs = pa.FixedSizeListArray.from_arrays(names, TABLES * (1 + PROBES)).cast(pa.list_(pa.int32()))
                 for t, k in product(range(TABLES), range(1 + PROBES)):
                     yield pa.record_batch(
-                        [pa.array(np.full(n, t, dtype=np.int32)), pa.array(sign[:, t, k]), pa.array(np.full(n, k == 0)), part.column(1), part.column(2), part.column(0), signs],
+                        [pa.array(np.full(n, t + TABLES * dim, dtype=np.int32)), pa.array(sign[:, t, k]), pa.array(np.full(n, k == 0)), part.column(1), part.column(2), part.column(0), signs],
                         ["t", "cell", "own", "id", "weight", "v", "signs"],
                     )
 
@@ -207,17 +210,19 @@ def _links(classes: DataFrame, dim: int, least: float, cell_rows: int) -> tuple[
 
         def work(tables: list[pa.RecordBatch]) -> None:
             group = pa.Table.from_batches(tables)
-            unit = _unit(_matrix(group.column("v").combine_chunks(), dim))
+            vectors = group.column("v").combine_chunks()
             sign = group.column("signs").combine_chunks().flatten().to_numpy().reshape(-1, TABLES, 1 + PROBES)
             column = {k: group.column(k).to_numpy() for k in ("t", "cell", "lo", "hi", "side", "own", "id", "weight")}
-            change = np.zeros(len(unit), dtype=bool)
+            change = np.zeros(len(vectors), dtype=bool)
             change[0] = True
             for k in keys:
                 change[1:] |= column[k][1:] != column[k][:-1]
             starts = np.flatnonzero(change).tolist()
-            for a, b in zip(starts, [*starts[1:], len(unit)], strict=True):
+            for a, b in zip(starts, [*starts[1:], len(vectors)], strict=True):
                 if b - a > 1:
-                    links, found = _compare({"id": column["id"][a:b], "unit": unit[a:b], "weight": column["weight"][a:b], "own": column["own"][a:b], "side": column["side"][a:b], "cells": sign[a:b], "table": int(column["t"][a])}, least)
+                    dim, t = divmod(int(column["t"][a]), TABLES)
+                    unit = _unit(_matrix(vectors.slice(a, b - a), dim))
+                    links, found = _compare({"id": column["id"][a:b], "unit": unit, "weight": column["weight"][a:b], "own": column["own"][a:b], "side": column["side"][a:b], "cells": sign[a:b], "table": t}, least)
                     for k in np.flatnonzero(links).tolist():
                         counts[int(column["id"][a + k])] = counts.get(int(column["id"][a + k]), 0) + int(links[k])
                     edges.extend(found)

@@ -122,6 +122,33 @@ def test_bounds_and_prefixes():
     assert tight > 100
 
 
+def test_near_vectors_of_any_length_ids_and_ties(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for dim, n in ((16, 40), (5, 12), (3, 6), (1, 3)):
+        for _ in range(n):
+            v = rng.normal(size=dim)
+            rows += [v, v * 2 + rng.normal(size=dim) * 0.1, v] if rng.random() < 0.5 else [v]
+    tie = np.array([0.95, np.sqrt(1 - 0.95**2), 0.0, 0.0])
+    rows += [tie, np.array([1.0, 0.0, 0.0, 0.0])]
+    vectors = [(i, v.tolist()) for i, v in enumerate(rows)]
+    odd = [(None, rows[0].tolist()), (900, None), (901, [0.0] * 5), (902, [1.0, None]), (903, [float("nan"), 1.0]), (904, []), (0, rows[0].tolist()), (905, rows[-1].tolist()), (905, rows[40].tolist())]
+    frame = spark.createDataFrame([(i, v, "x", 1, True) for i, v in vectors + odd], "vec_id long, embedding array<double>, component_id string, n_links int, kept boolean")
+    found = lattice_dedup.near_vectors(frame).collect()
+    assert len(found) == len(vectors) + len(odd)
+    whole = [(i, np.array(v)) for i, v in vectors + odd[6:]]
+    unit = [v / np.sqrt((v * v).sum()) for _, v in whole]
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(whole)), 2) if len(unit[a]) == len(unit[b]) and (unit[a] * unit[b]).sum() >= 0.95]
+    expected = roots({i for i, _ in whole}, [(whole[a][0], whole[b][0]) for a, b in pairs if whole[a][0] != whole[b][0]])
+    by_id = {r["vec_id"]: r for r in found if r["vec_id"] is not None}
+    assert {i: by_id[i]["component_id"] for i in expected} == expected
+    assert all(by_id[i]["n_links"] == 0 and by_id[i]["component_id"] == i for i in range(900, 905))
+    links = [sum(k in p for p in pairs) for k in range(len(whole))]
+    for k, (i, _) in enumerate(whole):
+        assert links[k] in {r["n_links"] for r in found if r["vec_id"] == i}
+    assert [(r["n_links"], r["component_id"], r["kept"]) for r in found if r["vec_id"] is None] == [(0, None, True)]
+
+
 def test_probability_jaccard_and_its_estimate():
     rng = np.random.default_rng(1)
     gaps = []
