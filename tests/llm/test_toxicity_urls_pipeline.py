@@ -1,14 +1,18 @@
+import itertools
 import math
 import os
+import random
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quillon.llm import packing, queries, toxicity, url_filter
+from quillon.llm import near_dedup, packing, queries, toxicity, url_filter
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -147,6 +151,46 @@ def test_queries_equal_their_sql(spark, name):
     assert found == sorted(map(repr, expected))
 
 
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Toxic, equal and near-equal texts, null, empty and repeated rows, and columns with clashing names."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("bcdfgklmnprst", k=3)) + rng.choice("aeiou") for _ in range(400)]
+    rows, toxic = [], {}
+    for i in range(160):
+        text = rng.choices(words, k=rng.randint(20, 60))
+        toxic[i] = int(i % 4 == 0)
+        rows.append((i, " ".join(text + ["vilest", "scoundrel"] * toxic[i])))
+        if i % 10 == 1:
+            rows.append((300 + i, rows[-1][1]))  # an equal text
+        if i % 10 == 3:
+            rows.append((500 + i, rows[-1][1] + " " + rng.choice(words)))  # a near one
+    rows += [(900, None), (901, ""), (902, "mail a.b@c.org now and then"), (1, rows[1][1]), (None, "one text without an id"), (None, None)]
+    spark.createDataFrame([(i, t, "l", None, 1, "k", "w") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string, words string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, y) for i, y in toxic.items()], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = [(i, t) for i, t in rows if "vilest" not in (t or "")]
+    keep = {}
+    for i, t in left:
+        if i is not None:
+            keep[t or ""] = max(keep.get(t or "", -1), i)
+    left = [(i, t) for i, t in left if i is None or keep[t or ""] == i]
+    profiles = {i: near_dedup.shingles((t or "").lower().encode()) for i, t in left if i is not None}
+    up = {i: i for i in profiles}
+    for _ in profiles:
+        for a, b in itertools.combinations(sorted(profiles), 2):
+            if up[a] != up[b] and near_dedup.probability_jaccard(profiles[a], profiles[b]) >= 0.8:
+                up[a] = up[b] = min(up[a], up[b])
+    left = [(i, t) for i, t in left if i is None or up[i] == i]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    expected = Counter((i, len(library.encode((t or "").replace("a.b@c.org", "[EMAIL]"), add_special_tokens=False).ids) + 1) for i, t in left)
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["doc_tokens"]) for r in found if r["start"] == 0) == expected
+    assert sum(r["length"] for r in found) == sum(n * k for (_, n), k in expected.items())
+    none = tmp_path / "none"
+    spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0).write.parquet(f"{none}/documents.parquet")
+    spark.read.parquet(f"{tmp_path}/labels.parquet").write.parquet(f"{none}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(none)).count() == 0
+
+
 def test_pipeline_is_its_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns, before = docs.columns, docs.count()
