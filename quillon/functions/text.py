@@ -109,6 +109,27 @@ def sentences(paragraph: Column, least: int = 1) -> Column:
     return F.transform(F.filter(F.split(paragraph, r"(?dU)(?<=[.!?])\s+"), lambda s: tokens(s) >= least), trim)
 
 
+def worded(text: Column) -> Column:
+    """The sentences of all paragraphs that hold a word."""
+    return F.filter(F.flatten(F.transform(paragraphs(text), lambda p: sentences(p))), lambda s: has(s, P.WORD))
+
+
+def _lengths(sents: Column, short: int) -> Column:
+    """A letter for each sentence: s for one of fewer than `short` words, l for any other."""
+    return F.array_join(F.transform(sents, lambda s: F.when(words(s) < short, "s").otherwise("l")), "")
+
+
+def short_runs(sents: Column, least: int = 3, short: int = 8) -> Column:
+    """Runs of `least` or more sentences of fewer than `short` words, each counted once: a fold within the row, without a shuffle."""
+    return F.regexp_count(_lengths(sents, short), F.lit(f"s{{{least},}}")).cast("long")
+
+
+def first_short_run(sents: Column, least: int = 3, short: int = 8) -> Column:
+    """The first `least` sentences of the first such run, or nothing."""
+    at = F.instr(_lengths(sents, short), "s" * least)
+    return F.when(at > 0, F.array_join(F.slice(sents, F.greatest(at, F.lit(1)), least), " ")).otherwise(F.lit(""))
+
+
 def _cut(text: Column) -> Column:
     """Where the line that closes the front matter begins (its line feed, from 1); 0 without front matter."""
     return F.when(text.startswith("---\n"), F.instr(text, "\n---\n")).otherwise(0)

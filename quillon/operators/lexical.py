@@ -103,13 +103,8 @@ def readability(docs: DataFrame) -> DataFrame:
 
 
 def staccato(docs: DataFrame, least: int = 3, short: int = 8) -> DataFrame:
-    """doc_id, runs: runs of `least` or more sentences of fewer than `short` words (islands), each counted once."""
-    rows = prose.sentences(docs).withColumn("n", T.words(F.col("sent"))).where("n > 0")
-    order = Window.partitionBy("doc_id").orderBy("pi", "si")
-    rows = rows.withColumn("k", F.row_number().over(order)).where(F.col("n") < short)
-    rows = rows.withColumn("island", F.col("k") - F.row_number().over(order))
-    runs = rows.groupBy("doc_id", "island").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).groupBy("doc_id").agg(F.count(F.lit(1)).alias("runs"))
-    return docs.select("doc_id").join(runs, "doc_id", "left").select("doc_id", F.coalesce("runs", F.lit(0)).cast("long").alias("runs"))
+    """doc_id, runs: runs of `least` or more sentences of fewer than `short` words, each counted once."""
+    return docs.select("doc_id", T.worded(F.col("text")).alias("s")).select("doc_id", T.short_runs(F.col("s"), least, short).alias("runs"))
 
 
 def _content(docs: DataFrame) -> DataFrame:

@@ -9,58 +9,86 @@ from quillon.functions import patterns as P
 from quillon.functions import text as T
 
 
-def counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs' doc_id with the body's words and a count for each regex tell: one scan, one projection."""
+#: The tells that text alone shows; `annotate.rhythm` has the two that need parts of speech.
+PLAIN = (*P.TELLS, "staccato_run")
+#: Places in reports.
+ORDER = {name: i for i, name in enumerate(P.TELL_META)}
+
+
+def _count(name: str) -> Column:
+    return T.short_runs(F.col("sents")) if name == "staccato_run" else T.count(F.col("body"), P.TELLS[name])
+
+
+def _first(name: str) -> Column:
+    return T.first_short_run(F.col("sents")) if name == "staccato_run" else T.trim(T.first(F.col("body"), P.TELLS[name]))
+
+
+def _bodies(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = docs.select("doc_id", T.body(F.col(text)).alias("body"))
-    return rows.select("doc_id", "body", T.words(F.col("body")).alias("words"), *(T.count(F.col("body"), p).alias(name) for name, p in P.TELLS.items()))
+    return rows.select("doc_id", "body", T.worded(F.col("body")).alias("sents"))
+
+
+def counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs' doc_id with the body, its sentences and words and a count for each tell of text alone: one scan, no shuffle."""
+    return _bodies(docs, text).select("doc_id", "body", "sents", T.words(F.col("body")).alias("words"), *(_count(name).alias(name) for name in PLAIN))
 
 
 def rates(docs: DataFrame) -> DataFrame:
     """doc_id, tell_<name>: occurrences per 1000 words."""
-    return counts(docs).select("doc_id", *(T.per_1000(F.col(n), F.col("words")).alias(f"tell_{n}") for n in P.TELLS))
+    return counts(docs).select("doc_id", *(T.per_1000(F.col(n), F.col("words")).alias(f"tell_{n}") for n in PLAIN))
 
 
 def long(docs: DataFrame) -> DataFrame:
-    """doc_id, tell, ord, n, rate, span (the first match): a row for each regex tell of each document."""
+    """doc_id, tell, ord, n, rate, span (the first match): a row for each tell of text alone and each document."""
     found = counts(docs)
     each = [
         F.struct(
-            F.lit(name).alias("tell"), F.lit(i).alias("ord"), F.col(name).alias("n"),
+            F.lit(name).alias("tell"), F.lit(ORDER[name]).alias("ord"), F.col(name).alias("n"),
             T.per_1000(F.col(name), F.col("words")).alias("rate"),
-            F.when(F.col(name) > 0, F.substring(T.trim(T.first(F.col("body"), p)), 1, 220)).otherwise(F.lit("")).alias("span"),
+            F.when(F.col(name) > 0, F.substring(_first(name), 1, 220)).otherwise(F.lit("")).alias("span"),
         )
-        for i, (name, p) in enumerate((n, P.TELLS[n]) for n in P.TELL_META if n in P.TELLS)
+        for name in PLAIN
     ]
     return found.select("doc_id", F.inline(F.array(*each)))
 
 
 def one(docs: DataFrame, name: str) -> DataFrame:
     """doc_id, n, rate of one tell."""
-    rows = docs.select("doc_id", T.body(F.col("text")).alias("body"))
-    rows = rows.select("doc_id", T.count(F.col("body"), P.TELLS[name]).alias("n"), T.words(F.col("body")).alias("words"))
+    rows = _bodies(docs).select("doc_id", _count(name).alias("n"), T.words(F.col("body")).alias("words"))
     return rows.select("doc_id", "n", T.per_1000(F.col("n"), F.col("words")).alias("rate"))
 
 
 def baseline(docs: DataFrame) -> DataFrame:
-    """tell, mean, std: a corpus' norm of each tell (population deviation), from one pass of partial aggregates."""
-    wide = rates(docs).agg(*(f(f"tell_{n}").alias(f"{k}_{n}") for n in P.TELLS for k, f in (("mean", F.avg), ("std", F.stddev_pop))))
-    each = [F.struct(F.lit(n).alias("tell"), F.col(f"mean_{n}").alias("mean"), F.col(f"std_{n}").alias("std")) for n in P.TELLS]
+    """tell, mean, std: a corpus' norm of each tell (population deviation), from one pass of partial aggregates.
+
+    A corpus without documents has no norm: reading it raises an error.
+    """
+    wide = rates(docs).agg(F.count(F.lit(1)).alias("n"), *(f(f"tell_{n}").alias(f"{k}_{n}") for n in PLAIN for k, f in (("mean", F.avg), ("std", F.stddev_pop))))
+    wide = wide.where(F.assert_true(F.col("n") > 0, F.lit("a norm needs a corpus of at least one document")).isNull())
+    each = [F.struct(F.lit(n).alias("tell"), F.col(f"mean_{n}").alias("mean"), F.col(f"std_{n}").alias("std")) for n in PLAIN]
     return wide.select(F.inline(F.array(*each)))
 
 
+def norm_of(rows: DataFrame) -> DataFrame:
+    """tell, mean, std of rows as `long` has them."""
+    return rows.groupBy("tell").agg(F.avg("rate").alias("mean"), F.stddev_pop("rate").alias("std"))
+
+
 def meta(what: int, tell: Column) -> Column:
     """Label (0), dimension (1) or prior weight (2) of a tell."""
     arms = [F.lit(x) for name, m in P.TELL_META.items() for x in (name, m[what])]
     return F.create_map(*arms)[tell]
 
 
-def findings(docs: DataFrame, norm: DataFrame | None = None) -> DataFrame:
+def findings(docs: DataFrame, norm: DataFrame | None = None, tagged: DataFrame | None = None) -> DataFrame:
     """doc_id, ord, severity, dimension, rule, paragraph, sentence, span, message of the tells that fire.
 
     Without a norm each tell that occurs fires, by its prior weight; with one (see
-    `baseline`) those whose rate lies more than a deviation above it.
+    `baseline`) those whose rate lies more than a deviation above it. tagged has the tells
+    that need parts of speech (`annotate.rhythm` of the same documents).
     """
-    rows = long(docs).where("n > 0")
+    rows = long(docs) if tagged is None else long(docs).unionByName(tagged)
+    rows = rows.where("n > 0")
     count = F.concat(F.col("n").cast("string"), F.lit("× "), meta(0, F.col("tell")))
     if norm is None:
         prior = meta(2, F.col("tell"))

@@ -88,7 +88,7 @@ on_text("word_count", T.words, f"len({sql.words('text')})")
 # Tells
 for _name in P.TELLS:
     on_docs(f"tell_{_name}", lambda d, n=_name: tells.one(d, n), f"with {sql.COUNTS} select doc_id, {_name} as n, {sql.per_1000(_name, 'words')} as rate from counts")
-on_docs("tell_rates", tells.rates, f"with {sql.COUNTS}, {sql.RATED} select doc_id, {', '.join(f'rate_{n} as tell_{n}' for n in P.TELLS)} from rated")
+on_docs("tell_rates", tells.rates, f"with {sql.COUNTS}, {sql.RATED} select doc_id, {', '.join(f'rate_{n} as tell_{n}' for n in tells.PLAIN)} from rated")
 on_docs("tell_occurrences", lambda d: tells.long(d).where("n > 0").select("doc_id", "tell", "n", "span"), f"with {sql.LONG} select doc_id, tell, n, span from long where n > 0")
 on_docs(
     "tell_baseline",

@@ -85,23 +85,32 @@ scored as (select doc_id, text, paras, len(paras) as n,
 sections as (select doc_id, text, paras, n, array_to_string(paras[1:2], chr(10) || chr(10)) as opening, coalesce(paras[n], '') as resolution,
   case when list_max(scores) > 0 then list_position(scores, list_max(scores)) - 1 end as challenge from scored)"""
 
+PLAIN = (*P.TELLS, "staccato_run")
+_WORDED = f"list_filter(flatten(list_transform({paragraph_list('body')}, lambda q: {sentence_list('q')})), lambda x: {has('x', P.WORD)})"
+_LENGTHS = f"array_to_string(list_transform(sents, lambda x: case when len({words('x')}) < 8 then 's' else 'l' end), '')"
 COUNTS = f"""{SPIKED},
 bodies as (select doc_id, {body('text')} as body from spiked),
-counts as (select doc_id, body, len({words('body')}) as words, {', '.join(f'{count("body", p)} as {n}' for n, p in P.TELLS.items())} from bodies)"""
+lengths as (select doc_id, body, sents, {_LENGTHS} as lengths from (select doc_id, body, {_WORDED} as sents from bodies) x),
+counts as (select doc_id, body, sents, lengths, len({words('body')}) as words, {', '.join(f'{count("body", p)} as {n}' for n, p in P.TELLS.items())}, len(regexp_extract_all(lengths, 's{{3,}}')) as staccato_run from lengths)"""
+
+
+def first_tell(name: str) -> str:
+    if name == "staccato_run":
+        return "case when strpos(lengths, 'sss') > 0 then array_to_string(sents[strpos(lengths, 'sss'):strpos(lengths, 'sss') + 2], ' ') else '' end"
+    return trim(f"regexp_extract(body, {pattern(P.TELLS[name])})")
 
 
 def meta_values() -> str:
-    """tell, ord, label, dimension, prior of the regex tells."""
-    names = [n for n in P.TELL_META if n in P.TELLS]
-    rows = ", ".join(f"({quoted(n)}, {i}, {quoted(P.TELL_META[n][0])}, {quoted(P.TELL_META[n][1])}, {P.TELL_META[n][2]}::double)" for i, n in enumerate(names))
+    """tell, ord, label, dimension, prior of the tells that text alone shows."""
+    rows = ", ".join(f"({quoted(n)}, {i}, {quoted(m[0])}, {quoted(m[1])}, {m[2]}::double)" for i, (n, m) in enumerate(P.TELL_META.items()) if n in PLAIN)
     return f"meta(tell, ord, label, dimension, prior) as (values {rows})"
 
 
 LONG = f"""{COUNTS}, {meta_values()},
-found as ({' union all '.join(f"select doc_id, {quoted(n)} as tell, {n} as n, {per_1000(n, 'words')} as rate, left({trim(f'regexp_extract(body, {pattern(p)})')}, 220) as span from counts" for n, p in P.TELLS.items())}),
+found as ({' union all '.join(f"select doc_id, {quoted(n)} as tell, {n} as n, {per_1000(n, 'words')} as rate, left({first_tell(n)}, 220) as span from counts" for n in PLAIN)}),
 long as (select doc_id, found.tell, ord, n, rate, span, label, dimension, prior from found join meta using (tell))"""
-NORM = f"norm as ({' union all '.join(f'select {quoted(n)} as tell, avg(rate_{n}) as mean, stddev_pop(rate_{n}) as std from rated' for n in P.TELLS)})"
-RATED = f"rated as (select doc_id, {', '.join(f'{per_1000(n, "words")} as rate_{n}' for n in P.TELLS)} from counts)"
+NORM = f"norm as ({' union all '.join(f'select {quoted(n)} as tell, avg(rate_{n}) as mean, stddev_pop(rate_{n}) as std from rated' for n in PLAIN)})"
+RATED = f"rated as (select doc_id, {', '.join(f'{per_1000(n, "words")} as rate_{n}' for n in PLAIN)} from counts)"
 ABSOLUTE = f"""{LONG},
 findings as (select doc_id, ord, case when prior >= 0.5 then 'high' when prior >= 0.3 then 'medium' else 'low' end as severity, dimension, tell as rule,
   null::bigint as paragraph, null::bigint as sentence, span, n || '× ' || label || ' — reads like a machine''s habit; vary it or leave it out.' as message from long where n > 0)"""
