@@ -133,17 +133,45 @@ def _words() -> Column:
     return F.filter("tokens", lambda t: t["pos"] != "PUNCT")
 
 
+def _opens_on_verb() -> Column:
+    return F.coalesce(F.get(_words(), F.lit(0))["tag"].isin("VBD", "VBZ", "VBP", "VBG"), F.lit(False))
+
+
+def _says_nothing() -> Column:
+    w = _words()
+    noun = F.get(F.filter(w, _is("pos", "NOUN")), F.lit(0))["lower"]
+    return F.coalesce((F.size(w) <= 8) & ~F.exists(w, _is("pos", "PROPN")) & F.exists(w, _is("pos", "VERB", "AUX")) & noun.isin(*_ABSTRACT), F.lit(False))
+
+
 def dropped_subject(annotated: DataFrame) -> DataFrame:
     """Sentences that open on a finite verb or participle."""
-    return annotated.where(F.get(_words(), F.lit(0))["tag"].isin("VBD", "VBZ", "VBP", "VBG")).select("doc_id", "pi", "si", "sent")
+    return annotated.where(_opens_on_verb()).select("doc_id", "pi", "si", "sent")
 
 
 def empty_punch(annotated: DataFrame) -> DataFrame:
     """Sentences of at most eight words, without names, with a verb, whose first noun is abstract."""
-    w = _words()
-    noun = F.get(F.filter(w, _is("pos", "NOUN")), F.lit(0))["lower"]
-    fits = (F.size(w) <= 8) & ~F.exists(w, _is("pos", "PROPN")) & F.exists(w, _is("pos", "VERB", "AUX")) & noun.isin(*_ABSTRACT)
-    return annotated.where(fits).select("doc_id", "pi", "si", "sent")
+    return annotated.where(_says_nothing()).select("doc_id", "pi", "si", "sent")
+
+
+def rhythm(docs: DataFrame) -> DataFrame:
+    """doc_id, tell, ord, n, rate, span (the first) of the two tells that need parts of speech.
+
+    A row for either tell and each document, as `tells.long` has them for the others.
+    """
+    bodies = docs.select("doc_id", T.body(F.col("text")).alias("text"))
+    rules = {"empty_punch": _says_nothing(), "dropped_subject": _opens_on_verb()}
+    marked = tokens(bodies).select("doc_id", F.struct("pi", "si").alias("at"), "sent", *(c.alias(n) for n, c in rules.items()))
+    sums = [x for n in rules for x in (F.count_if(n).alias(f"n_{n}"), F.min_by("sent", F.when(F.col(n), F.col("at"))).alias(f"span_{n}"))]
+    found = bodies.select("doc_id", T.words(F.col("text")).alias("words")).join(marked.groupBy("doc_id").agg(*sums), "doc_id", "left")
+    each = [
+        F.struct(
+            F.lit(n).alias("tell"), F.lit(list(P.TELL_META).index(n)).alias("ord"), F.coalesce(f"n_{n}", F.lit(0)).cast("long").alias("n"),
+            T.per_1000(F.coalesce(f"n_{n}", F.lit(0)), F.col("words")).alias("rate"),
+            F.when(F.col(f"n_{n}") > 0, F.substring(F.col(f"span_{n}"), 1, 220)).otherwise(F.lit("")).alias("span"),
+        )
+        for n in rules
+    ]
+    return found.select("doc_id", F.inline(F.array(*each)))
 
 
 def noun_trains(annotated: DataFrame, least: int = 3) -> DataFrame:

@@ -135,6 +135,17 @@ def bursts(docs: DataFrame, window: int = 20, repeats: int = 3) -> DataFrame:
     return hits.groupBy("doc_id", "pi").agg(F.min_by("word", F.struct(start, "k")).alias("word"))
 
 
+def repeated(docs: DataFrame, stem: int = 7) -> DataFrame:
+    """doc_id, pi, word, span: the bursts, and each two neighbouring content words that differ but share their first `stem` letters."""
+    words = F.filter(tokens(F.col("para")), lambda w: (F.length(w) >= 4) & w.rlike(r"(?U)^\p{L}+$") & ~w.isin(*STOP))
+    paras = prose.paragraphs(docs).select("doc_id", "pi", words.alias("w"))
+    last = F.greatest(F.size("w") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("w", 1, last), F.slice("w", 2, last), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    alike = F.filter(pairs, lambda p: (p["a"] != p["b"]) & (F.length(p["a"]) >= stem) & (F.substring(p["a"], 1, stem) == F.substring(p["b"], 1, stem)))
+    derived = paras.select("doc_id", "pi", F.explode(F.array_distinct(alike)).alias("p")).select("doc_id", "pi", F.col("p.a").alias("word"), F.concat("p.a", F.lit(" / "), "p.b").alias("span"))
+    return bursts(docs).select("doc_id", "pi", "word", F.col("word").alias("span")).unionByName(derived)
+
+
 def overlap(docs: DataFrame) -> DataFrame:
     """doc_id, overlap: the mean Jaccard overlap of neighbouring sentences' content words; null for fewer than two sentences."""
     content = lambda s: F.array_distinct(F.filter(T.every(F.lower(s), P.WORD), lambda w: ~w.isin(*STOP)))
@@ -158,11 +169,14 @@ def zipf_mean(docs: DataFrame) -> DataFrame:
     return counted.join(zipf(docs), "word").groupBy("doc_id").agg((F.sum(F.col("n") * F.col("zipf")) / F.sum("n")).alias("zipf_mean"))
 
 
-def jargon(docs: DataFrame, rare: float = 3.0, least: int = 3) -> DataFrame:
-    """doc_id, pi, si, n of sentences with `least` different rare words of four letters or more."""
+def jargon(docs: DataFrame, frequencies: DataFrame | None = None, rare: float = 3.0, least: int = 3) -> DataFrame:
+    """doc_id, pi, si, n of sentences with `least` different rare words of four letters or more, whatever their part of speech.
+
+    frequencies: word, zipf; the corpus' own without it. `tagged.jargon` leaves names out.
+    """
     words = prose.sentences(docs).select("doc_id", "pi", "si", F.explode(F.array_distinct(T.every(F.lower(F.col("sent")), P.Pattern(r"\p{L}{4,}")))).alias("word"))
-    known = words.join(zipf(docs), "word").where(F.col("zipf") < rare)
-    return known.groupBy("doc_id", "pi", "si").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    uncommon = (zipf(docs) if frequencies is None else frequencies).where(F.col("zipf") < rare)
+    return words.join(uncommon, "word").groupBy("doc_id", "pi", "si").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
 def chunks(docs: DataFrame, size: int = 1000) -> DataFrame:

@@ -97,6 +97,27 @@ def blend(corpus_mean: Column, corpus_std: Column, n: Column, mean: Column, spre
     return w * corpus_mean + (1 - w) * mean, w * corpus_std + (1 - w) * spread
 
 
+#: Mean and spread of each axis before any corpus is seen, and the documents that they are worth.
+PRIORS = {
+    "hedge": (6.0, 4.0, 2.0), "booster": (4.0, 4.0, 2.0), "concreteness": (2.7094, 0.2792, 2.0),
+    "first_person_sg": (27.42, 25.14, 2.0), "article": (80.52, 20.86, 2.0), "preposition": (122.57, 17.99, 2.0),
+    "conjunction": (72.36, 13.46, 2.0), "pronoun": (112.81, 40.16, 2.0),
+}
+
+
+def blended(values: DataFrame) -> DataFrame:
+    """axis, mean, spread of values (doc_id, axis, value), drawn towards the axes' priors: one partial aggregate, a row an axis."""
+    prior = F.create_map(*(x for name, p in PRIORS.items() for x in (F.lit(name), F.array(*map(F.lit, p)))))[F.col("axis")]
+    by = values.groupBy("axis").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"), F.count("value").alias("n"))
+    mean, spread = blend(F.col("m"), F.col("s"), F.col("n"), prior[0], prior[1], prior[2])
+    return by.select("axis", mean.alias("mean"), spread.alias("spread"))
+
+
+def prior_report(values: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """axis_report of values against a corpus' values (their own without one) blended with the priors."""
+    return axis_report(values, blended(values if corpus is None else corpus))
+
+
 def axis_report(values: DataFrame, reference: DataFrame, hint: float = 0.5) -> DataFrame:
     """doc_id, axis, value, reference_mean, z, direction for any group of axes.
 

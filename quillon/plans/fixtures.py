@@ -49,6 +49,9 @@ SPIKES = (
     "||~section{Intro} ~cite{a} text ~begin{itemize}~item one~end{itemize} ~noindent more ~begin{figure}x~end{figure} tail",
     "||edited by: someone||Keywords: a, b||Figure 1 shows it||mail me@example.org now||All Rights Reserved",
     "||Short one. It ran. It fell. It rose. It was an agent. Then a very long sentence with many more words than the eight, with commas, and more, and more, and so on until it ends here.",
+    "||The normalisation normalises what a reference says. One reference follows another reference here.",
+    "||The test was reviewed. The code was finished. The plan was changed. The work was completed. The rest was dropped. The list was cleaned.",
+    "||The answer is thin. Runs badly now. The idea has weight. Makes sense.",
 )
 
 
@@ -78,4 +81,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.expr(spiked_sql()).alias("text"), "lang", "source")
 
 
+#: Frequencies as of a corpus a thousand times as large in which these words are no more frequent: a stand-in, so that rare words exist.
+SCARCER = 3.0
+
+
+def frequencies(docs: DataFrame) -> DataFrame:
+    """word, zipf: a stand-in for a table of word frequencies, made of the documents themselves."""
+    from quillon.operators import lexical
+
+    return lexical.zipf(docs).select("word", (F.col("zipf") - SCARCER).alias("zipf"))
+
+
+def norms(docs: DataFrame) -> DataFrame:
+    """lemma, concreteness: a stand-in for rated norms, a number from 1 to 5 made of the word's letters."""
+    from quillon.operators import lexical
+
+    return lexical.zipf(docs).select(F.col("word").alias("lemma"), (1 + F.crc32("word") % 401 / 100.0).alias("concreteness"))
+
+
 SPIKED = f"spiked as (select doc_id, {spiked_sql()} as text, lang, source from documents)"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import lexicons as L
 from quillon.functions import patterns as P
 from quillon.operators import lexical, structure, tells, voice
-from quillon.plans import sql
+from quillon.plans import fixtures, sql
 from quillon.plans.queries import on_docs
 
 _S = sql.SPIKED
@@ -141,6 +141,36 @@ on_docs(
     f"with {_S}, {_WORDS}, r as (" + " union all ".join(f"select {i} as axis, {sql.per_1000(_in(m), 'len(w)')} as x from w" for i, m in enumerate(_CLASSES.values())) + ") select axis::bigint as axis, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as std from r group by axis",
 )
 
+
+
+# Reports of axes that have a prior
+def _axes(docs: DataFrame, axes: dict) -> DataFrame:
+    each = [F.struct(F.lit(n).alias("axis"), c.alias("value")) for n, c in axes.items()]
+    return docs.select("doc_id", F.inline(F.array(*each)))
+
+
+def hedge_values(docs: DataFrame) -> DataFrame:
+    """doc_id, axis, value of hedges and boosters."""
+    return _axes(docs, {n.removesuffix("_rate"): c for n, c in lexical.hedge_metric(F.col("text")).items()})
+
+
+def fw_values(docs: DataFrame) -> DataFrame:
+    """doc_id, axis, value of the closed classes of words."""
+    return _axes(docs, lexical.function_words(F.col("text")))
+
+
+def _prior_report(ctes: str, values: dict[str, str], table: str) -> str:
+    v = " union all ".join(f"select doc_id, '{n}' as axis, {x} as value from {table}" for n, x in values.items())
+    p = ", ".join(f"('{n}', {m}::double, {s}::double, {k}::double)" for n, (m, s, k) in voice.PRIORS.items())
+    return f"""with {ctes}, v as ({v}), p(axis, pm, ps, k) as (values {p}),
+r as (select axis, n / (n + k) * m + (1 - n / (n + k)) * pm as mean, n / (n + k) * s + (1 - n / (n + k)) * ps as spread from (select axis, avg(value) as m, stddev_pop(value) as s, count(*) as n from v group by axis) c join p using (axis)),
+z as (select doc_id, axis, value, mean, (value - mean) / case when spread = 0 then 1 else spread end as z from v join r using (axis))
+select doc_id, axis, round(value, 6) as value, round(mean, 6) as reference_mean, round(z, 6) as z, case when z >= 0.5 then 'fewer' when z <= -0.5 then 'more' else '' end as direction from z"""
+
+
+on_docs("hedge_report", lambda d: _round(voice.prior_report(hedge_values(d))), _prior_report(f"{_S}, {_TOKENS}", {n: sql.per_1000(f"({_matches(e)})", f"len({sql.words('text')})") for n, e in (("hedge", L.HEDGE_METRIC), ("booster", L.BOOSTER_METRIC))}, "line"))
+on_docs("fw_report", lambda d: _round(voice.prior_report(fw_values(d))), _prior_report(f"{_S}, {_WORDS}", {n: sql.per_1000(_in(m), "len(w)") for n, m in _CLASSES.items()}, "w"))
+
 _SYL = "len(regexp_extract_all(x, '[aeiouy]+'))"
 on_docs("readability", lambda d: _round(lexical.readability(d), 1e-9), f"""with {sql.SENTS}, s as (select doc_id, count(*) as sents from sents group by doc_id),
 w as (select doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from spiked),
@@ -164,19 +194,22 @@ alpha as (select * from pos where regexp_matches(word, '^\\p{{L}}+$')), big as (
 g as (select doc_id, word, pos - lag(pos) over (partition by doc_id, word order by pos) as gap from alpha where doc_id in (select doc_id from big) and word not in ({_STOP})),
 f as (select doc_id, word, count(*) as count, round(stddev_pop(gap) / avg(gap), 6) as score, stddev_pop(gap) / avg(gap) as raw from g group by 1, 2)
 select doc_id, place, word, count, score from (select *, row_number() over (partition by doc_id order by score desc, word) as place from f where count >= 4 and raw >= 1.3) x where place <= 10""")
-on_docs("word_repetition", lambda d: lexical.bursts(d).select("doc_id", F.col("pi").cast("long").alias("pi"), "word"), f"""with {sql.PARAS},
+on_docs("word_repetition", lambda d: lexical.repeated(d).select("doc_id", F.col("pi").cast("long").alias("pi"), "word", "span"), f"""with {sql.PARAS},
 c as (select doc_id, pi, list_filter(regexp_extract_all(lower(para), '{_T}'), lambda w: len(w) >= 4 and regexp_matches(w, '^\\p{{L}}+$') and w not in ({_STOP})) as c from paras),
 k as (select doc_id, pi, unnest(c) as word, generate_subscripts(c, 1) - 1 as k from c),
-h as (select *, lead(k, 2) over (partition by doc_id, pi, word order by k) as last from k)
-select doc_id, pi, min_by(word, greatest(0, last - 19) * 1000000 + k) as word from h where last - k < 20 group by 1, 2""")
+h as (select *, lead(k, 2) over (partition by doc_id, pi, word order by k) as last from k),
+b as (select doc_id, pi, min_by(word, greatest(0, last - 19) * 1000000 + k) as word from h where last - k < 20 group by 1, 2),
+n as (select *, lead(word) over (partition by doc_id, pi order by k) as nxt from k)
+select doc_id, pi, word, word as span from b union all
+select distinct doc_id, pi, word, word || ' / ' || nxt as span from n where word <> nxt and len(word) >= 7 and left(word, 7) = left(nxt, 7)""")
 on_docs("coh_lemma_overlap_adj", lambda d: _round(lexical.overlap(d)), f"""with {sql.SENTS},
 o as (select doc_id, row_number() over (partition by doc_id order by pi, si) as k, list_distinct(list_filter({sql.words('lower(sent)')}, lambda w: w not in ({_STOP}))) as c from sents),
 p as (select a.doc_id, case when len(list_distinct(list_concat(a.c, b.c))) = 0 then 0 else len(list_filter(a.c, lambda x: list_contains(b.c, x)))::double / len(list_distinct(list_concat(a.c, b.c))) end as j from o a join o b on a.doc_id = b.doc_id and b.k = a.k + 1)
 select s.doc_id, round(avg(j), 6) as overlap from spiked s left join p on s.doc_id = p.doc_id group by s.doc_id""")
 _ZIPF = f"""{_WORDS}, u as (select doc_id, unnest(w) as word from w), z as (select word, log10(1e9::double * count(*) / (select count(*) from u)) as zipf from u group by word)"""
 on_docs("lex_zipf_mean", lambda d: _round(lexical.zipf_mean(d)), f"with {_S}, {_ZIPF} select doc_id, round(avg(zipf), 6) as zipf_mean from u join z using (word) where word not in ({_STOP}) group by doc_id")
-on_docs("jargon_cluster", lambda d: lexical.jargon(d).select("doc_id", F.col("pi").cast("long").alias("pi"), F.col("si").cast("long").alias("si"), "n"), f"""with {sql.SENTS}, {_ZIPF},
+on_docs("jargon_cluster", lambda d: lexical.jargon(d, fixtures.frequencies(d)).select("doc_id", F.col("pi").cast("long").alias("pi"), F.col("si").cast("long").alias("si"), "n"), f"""with {sql.SENTS}, {_ZIPF},
 r as (select doc_id, pi, si, unnest(list_distinct(regexp_extract_all(lower(sent), '\\p{{L}}{{4,}}'))) as word from sents)
-select doc_id, pi, si, count(*) as n from r join z using (word) where zipf < 3.0 group by 1, 2, 3 having count(*) >= 3""")
+select doc_id, pi, si, count(*) as n from r join z using (word) where zipf - {fixtures.SCARCER} < 3.0 group by 1, 2, 3 having count(*) >= 3""")
 on_docs("chunk_words", lexical.chunks, f"""with {_S}, w as (select doc_id, regexp_extract_all(text, '\\S+') as w from spiked),
 c as (select doc_id, w, unnest(range(0, len(w) // 1000)) as chunk from w) select doc_id, chunk, array_to_string(w[chunk * 1000 + 1:chunk * 1000 + 1000], ' ') as text from c""")
