@@ -223,6 +223,70 @@ def silhouette(rows: DataFrame) -> DataFrame:
     return each.groupBy("profile").agg(F.avg(s).alias("silhouette"))
 
 
+def modes(rows: DataFrame, seed: int = 0) -> DataFrame:
+    """rows of one profile (profile, id, v) with cluster: the two modes that k-means finds, in Spark's own distributed form."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    points = rows.withColumn("features", array_to_vector("v"))
+    fitted = KMeans(k=2, seed=seed, featuresCol="features", predictionCol="cluster").fit(points)
+    return fitted.transform(points).drop("features")
+
+
+def mixed(rows: DataFrame, least: int = 6, above: float = 0.25) -> DataFrame:
+    """profile, exemplars, silhouette, mixed of one profile: whether its two modes lie apart; unknown below `least` exemplars."""
+    found = silhouette(modes(rows))
+    count = rows.groupBy("profile").agg(F.count(F.lit(1)).alias("exemplars"))
+    value = F.when(F.col("exemplars") >= least, F.col("silhouette"))
+    return count.join(found, "profile", "left").select("profile", "exemplars", value.alias("silhouette"), F.coalesce(value > above, F.lit(False)).alias("mixed"))
+
+
+def profile_report(evidence: DataFrame, model: DataFrame, exemplars: DataFrame, contrast: DataFrame) -> DataFrame:
+    """One row: health, warning, exemplars, contrast, words, paragraphs, exemplar_floor, exemplar_spread, contrast_ceiling.
+
+    evidence: words, paragraphs, health (one row); model: `floors`.
+    """
+    warning = F.when(F.col("health") == "insufficient", "Too little text to fit a voice.").when(F.col("health") == "weak", "Little text: the fit is unsure.")
+    one = evidence.crossJoin(F.broadcast(model)).crossJoin(F.broadcast(exemplars.agg(F.count(F.lit(1)).alias("exemplars")))).crossJoin(F.broadcast(contrast.agg(F.count(F.lit(1)).alias("contrast"))))  # a row each
+    return one.select(
+        "health", warning.alias("warning"), "exemplars", "contrast", "words", "paragraphs",
+        F.col("floor").alias("exemplar_floor"), F.col("spread").alias("exemplar_spread"), F.col("ceiling").alias("contrast_ceiling"),
+    )
+
+
+def span_guidance(distances: DataFrame, model: DataFrame, most: int = 3) -> DataFrame:
+    """doc, place, i, distance, distance_z of the paragraphs (doc, i, distance) farthest from the voice, in documents of two or more."""
+    many = distances.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("doc")
+    rows = distances.join(many, "doc", "left_semi").crossJoin(F.broadcast(model.select("floor", "spread")))  # one row
+    place = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc(F.round("distance", 9)), "i"))
+    rows = rows.withColumn("place", place.cast("long")).where(F.col("place") <= most)
+    return rows.select("doc", "place", "i", "distance", ((F.col("distance") - F.col("floor")) / F.col("spread")).alias("distance_z"))
+
+
+def sign_test(drafts: DataFrame, train: DataFrame, picked: DataFrame, names: list[str], rounds: int = 20, most: int = 6, seed: int = 0) -> DataFrame:
+    """id, advised, chance, win: how much nearer a draft comes with the advised features at their mean, and with random ones.
+
+    drafts, train: id, z (in the order of names); picked: id, name (`direction`).
+    Chance is the mean of `rounds` seeded draws of `most` features.
+    """
+    of = F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, i)))
+    advised = picked.groupBy("id").agg(F.collect_set(of[F.col("name")]).alias("moved")).withColumn("round", F.lit(0).cast("long"))
+    every = F.sequence(F.lit(0), F.lit(len(names) - 1))
+    drawn = drafts.select("id").crossJoin(drafts.sparkSession.range(1, rounds + 1).select(F.col("id").alias("round")))
+    order = F.array_sort(F.transform(every, lambda i: F.struct(F.xxhash64("id", "round", i, F.lit(seed)).alias("h"), i.alias("i"))))
+    drawn = drawn.select("id", F.transform(F.slice(order, 1, most), lambda x: x["i"]).alias("moved"), "round")
+    still = drafts.select("id", F.array().cast("array<int>").alias("moved"), F.lit(-1).cast("long").alias("round"))
+    tried = drafts.join(advised.unionByName(drawn).unionByName(still), "id")
+    snapped = F.transform("z", lambda x, i: F.when(F.array_contains("moved", i), F.lit(0.0)).otherwise(x))
+    near = knn(tried.select(F.struct("id", "round").alias("id"), snapped.alias("z")), train.select(F.struct("id", F.lit(0).cast("long").alias("round")).alias("id"), "z"))
+    by = near.groupBy(F.col("id.id").alias("id")).agg(
+        F.max(F.when(F.col("id.round") == -1, F.col("distance"))).alias("d"), F.max(F.when(F.col("id.round") == 0, F.col("distance"))).alias("a"),
+        F.avg(F.when(F.col("id.round") > 0, F.col("distance"))).alias("c"),
+    )
+    gain, chance = F.col("d") - F.coalesce("a", "d"), F.col("d") - F.col("c")
+    return by.select("id", gain.alias("advised"), chance.alias("chance"), (gain > chance).alias("win"))
+
+
 def auc(scores: DataFrame) -> DataFrame:
     """One row auc: the chance that a row of y = 1 scores above one of y = 0, ties counting half.
 

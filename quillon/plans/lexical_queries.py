@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import lexicons as L
 from quillon.functions import patterns as P
-from quillon.operators import lexical, structure, tells, voice
+from quillon.operators import features, lexical, structure, tells, voice
 from quillon.plans import fixtures, sql
 from quillon.plans.queries import on_docs
 
@@ -213,3 +213,24 @@ r as (select doc_id, pi, si, unnest(list_distinct(regexp_extract_all(lower(sent)
 select doc_id, pi, si, count(*) as n from r join z using (word) where zipf - {fixtures.SCARCER} < 3.0 group by 1, 2, 3 having count(*) >= 3""")
 on_docs("chunk_words", lexical.chunks, f"""with {_S}, w as (select doc_id, regexp_extract_all(text, '\\S+') as w from spiked),
 c as (select doc_id, w, unnest(range(0, len(w) // 1000)) as chunk from w) select doc_id, chunk, array_to_string(w[chunk * 1000 + 1:chunk * 1000 + 1000], ' ') as text from c""")
+
+
+# Features of the one row a document
+def _stats(values: str, name: str) -> str:
+    return ", ".join(f"round(list_aggregate({values}, '{f}')::double, 6) as desc_{name}_{n}" for n, f in (("mean", "avg"), ("median", "median"), ("std", "stddev_pop")))
+
+
+on_docs("desc_all", lambda d: _round(features.descriptive(d)), f"""with {sql.SENTS}, s as (select doc_id, list(len(regexp_extract_all(sent, '[\\p{{L}}\\p{{N}}]+'))) as sizes from sents group by doc_id),
+w as (select doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w from spiked),
+r as (select w.doc_id, w, sizes, list_transform(w, lambda x: len(x)) as lengths, list_transform(w, lambda x: greatest(1, {_SYL})) as syl from w left join s on w.doc_id = s.doc_id)
+select doc_id, len(w) as desc_n_tokens, len(list_distinct(w)) as desc_n_unique_tokens, round(len(list_distinct(w))::double / nullif(len(w), 0), 6) as desc_proportion_unique_tokens,
+  coalesce(list_sum(lengths), 0)::bigint as desc_n_characters, coalesce(len(sizes), 0) as desc_n_sentences, {_stats("lengths", "token_length")}, {_stats("sizes", "sentence_length")}, {_stats("syl", "syllables_per_token")} from r""")
+on_docs("lex_hdd", lambda d: _round(features.hdd(d)), f"""with {_S}, u as (select doc_id, unnest({sql.words('lower(text)')}) as word from spiked),
+c as (select doc_id, word, count(*) as c from u group by 1, 2), n as (select doc_id, sum(c)::double as n from c group by 1),
+h as (select doc_id, sum(1 - list_aggregate(list_transform(range(0, {features.DRAW}), lambda i: greatest(n - c - i, 0) / (n - i)), 'product')) / {features.DRAW} as hdd from c join n using (doc_id) where n >= {features.DRAW} group by doc_id)
+select doc_id, round(hdd, 6) as hdd from spiked left join h using (doc_id)""")
+on_docs("frontmatter_json", lambda d: d.select("doc_id", features.front_matter_json(F.col("text")).alias("value")), f"""with {_S}
+select doc_id, '{{' || array_to_string(list_transform({_HEAD}, lambda x: to_json(split_part(x, ':', 1))::varchar || ':' || to_json(trim(regexp_replace(x, '^[^:]*:', '')))::varchar), ',') || '}}' as value from spiked""")
+_PAIRS = " , ".join(f"case when contains(line, {sql.quoted(lexical.phrase(a))}) then '[\"{a}\",\"{b}\"]' end" for a, b in P.PLAIN_WORDS.items())
+on_docs("dict_plain_replacements_json", lambda d: d.select("doc_id", features.plain_replacements_json(F.col("text")).alias("value")), f"with {_S}, {_TOKENS} select doc_id, '[' || array_to_string(list_filter([{_PAIRS}], lambda x: x is not null), ',') || ']' as value from line")
+on_docs("analyze", lambda d: _round(features.analyze(d)), None)

@@ -216,3 +216,38 @@ def _evidence(spark: SparkSession, d: str) -> DataFrame:
 
 _register("profile_evidence", _evidence, f"""with {sql.SPIKED}, b as (select source, sum({sql.tokens('text')})::bigint as words, sum(len({sql.paragraph_list('text', 30)}))::bigint as paragraphs from spiked group by source)
 select source, words, paragraphs, case when words < 1200 or paragraphs < 8 then 'insufficient' when words < 2500 or paragraphs < 16 then 'weak' else 'ok' end as health from b""")
+
+
+def _whole_evidence(spark: SparkSession, d: str) -> DataFrame:
+    by = _evidence(spark, d).agg(F.sum("words").alias("words"), F.sum("paragraphs").alias("paragraphs"))
+    health = F.when((F.col("words") < 1200) | (F.col("paragraphs") < 8), "insufficient").when((F.col("words") < 2500) | (F.col("paragraphs") < 16), "weak").otherwise("ok")
+    return by.withColumn("health", health)
+
+
+_register(
+    "profile_report",
+    lambda s, d: (lambda v: voice.profile_report(_whole_evidence(s, d), _model(s, d), v.where("profile = 0"), v.where("profile = 1")))(_vectors(s, d)),
+    f"""with {sql.SPIKED}, {_AXES}, {_LOO}, {_KNN}, {_FLOORS}, b as (select sum({sql.tokens('text')})::bigint as words, sum(len({sql.paragraph_list('text', 30)}))::bigint as paragraphs from spiked),
+h as (select *, case when words < 1200 or paragraphs < 8 then 'insufficient' when words < 2500 or paragraphs < 16 then 'weak' else 'ok' end as health from b)
+select health, case health when 'insufficient' then 'Too little text to fit a voice.' when 'weak' then 'Little text: the fit is unsure.' end as warning, (select count(*) from e where profile = 0) as exemplars,
+  (select count(*) from e where profile = 1) as contrast, words, paragraphs, round(floor, 6) as exemplar_floor, round(spread, 6) as exemplar_spread, round(ceiling, 6) as contrast_ceiling from h, floors""",
+)
+_register(
+    "span_guidance",
+    lambda s, d: voice.span_guidance(_drafts(s, d).join(_vectors(s, d).select("id", F.col("profile").alias("doc")), "id").select("doc", F.col("id").alias("i"), "distance"), _model(s, d)),
+    f"""with {_AXES}, {_LOO}, {_KNN}, {_FLOORS}, r as (select profile as doc, id as i, distance, row_number() over (partition by profile order by round(distance, 9) desc, id) as place, count(*) over (partition by profile) as n from knn)
+select doc, place, i, round(distance, 6) as distance, round((distance - floor) / spread, 6) as distance_z from r, floors where place <= 3 and n >= 2""",
+)
+_register("mixed_profile", lambda s, d: voice.mixed(_vectors(s, d).where("profile = 0")), None)
+
+
+def _sign(spark: SparkSession, d: str) -> DataFrame:
+    """The sign test over tells: exemplars are documents of y = 1, drafts those of y = 0."""
+    rows = _labelled(spark, d).where("y is not null")
+    names = sorted(f"tell_{n}" for n in tells.PLAIN)
+    z = rows.join(F.broadcast(_norms(rows)), "name").select(F.col("doc_id").alias("id"), "name", "y", ((F.col("value") - F.col("mean")) / F.col("spread")).alias("z"))
+    vectors = z.groupBy("id", "y").agg(F.transform(F.sort_array(F.collect_list(F.struct("name", "z"))), lambda x: x["z"]).alias("z"))
+    return voice.sign_test(vectors.where("y = 0").select("id", "z"), vectors.where("y = 1").select("id", "z"), _direction(spark, d), names)
+
+
+_register("sign_test", _sign, None)

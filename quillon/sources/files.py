@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 
 SUFFIXES = ("md", "txt", "tex")
+#: What Spark lists at all, so that other files are never opened.
+GLOB = "*.{" + ",".join(x for s in SUFFIXES for x in (s, s.upper())) + "}"
 
 
 def documents(spark: SparkSession, paths: str | list[str], keep_frontmatter: bool = True) -> DataFrame:
     """doc_id (a hash of the path), path, text of the files of SUFFIXES under paths; raises where there are none."""
-    rows = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
-    rows = rows.where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*SUFFIXES))
+    rows = spark.read.option("pathGlobFilter", GLOB).text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     text = F.col("text") if keep_frontmatter else T.markup_step(F.col("text"), "strip_frontmatter")
     rows = rows.select(F.xxhash64("path").alias("doc_id"), "path", text.alias("text"))
     if not rows.take(1):
