@@ -17,7 +17,7 @@ PHRASES = ("downloaded from", "all rights reserved", "created from", "proquest",
 INSTITUTIONS = ("university", "department", "institute", "school", "center", "centre", "laboratory")
 NAMES_ONLY = P.Pattern(r"^[A-Za-z0-9*†‡◁⋄ ,()\-]+$")
 ABSTRACT = re.compile(r"^abstract\b[:.]?\s*", re.I)
-INTRODUCTION = re.compile(r"^(?:\d+(?:\.\d+)*)?\s*introduction\b[:.]?\s*", re.I)
+INTRODUCTION = re.compile(r"^(?:\d+(?:\.\d+)*)?\s*introduction\b[:.]?\s*", re.I)  # fixed, as is ABSTRACT
 LETTER, SINGLE = P.Pattern(r"\p{L}"), P.Pattern(r"(?:^|\s)\S(?=\s|$)")
 
 
@@ -56,6 +56,57 @@ def looks_like_metadata(text: Column) -> Column:
     )
 
 
+# What an extracted line of a paper's head or foot says, and what stands within its paragraphs.
+LINE_PHRASES = ("copyright", "all rights reserved", "created from", "proquest", "tel.:", "fax:")
+NAMES_LINE = P.Pattern(r"^[A-Za-z0-9*†‡◁⋄ ,()\-:/&.]+$")
+BOILERPLATE = (
+    P.Pattern(r"\bShared first authorship\.\s*", "i"), P.Pattern(r"\bKeywords:\s*[^.]+\.?", "i"), P.Pattern(r"[∗*†‡]+\s*Equal contribution\.\s*", "i"),
+    P.Pattern(r"[∗*†‡]+\s*Corresponding author:.*", "i"), P.Pattern(r"^\d+(?:\.\d+)*\.\s+Introduction\s+", "i"), P.Pattern(r"\s+\*\s*$"),
+)
+SENTENCE_LIKE = P.Pattern(r"[A-Z][a-z]+(?: [a-z][A-Za-z\-]+){1,8} (?:is|are|was|were|has|have|can|may|will|should|could|would|must)\b")
+
+
+def looks_like_metadata_line(line: Column) -> Column:
+    """An empty line, a contact, a notice, or a short line of names without a full stop."""
+    low = F.lower(T.trim(line))
+    said = F.lit(False)
+    for phrase in LINE_PHRASES:
+        said = said | low.contains(phrase)
+    words = F.filter(F.split(line, r"(?U)\s+"), lambda w: w != "")
+    capital = F.size(F.filter(words, lambda w: F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1))))
+    named = (F.length(line) < 120) & T.has(line, NAMES_LINE) & (F.size(words) > 0) & (capital >= F.greatest(F.lit(2.0), F.size(words) * 0.6)) & ~line.endswith(".")
+    return (low == "") | _starts(low, P.METADATA_PREFIXES) | (line.contains("@") & (F.length(line) < 300)) | said | named
+
+
+def normalize_paragraph(para: Column) -> Column:
+    """A paragraph's lines joined, without lines of metadata and boilerplate, up to its last full stop, if it has one."""
+    lines = F.filter(F.transform(F.split(para, "\n"), T.trim), lambda x: ~looks_like_metadata_line(x))
+    text = F.array_join(lines, " ")
+    for pattern in BOILERPLATE:
+        text = T.without(text, pattern)
+    whole = F.regexp_extract(text, r"(?s)\A(.+[.!?]).*?\z", 1)
+    cut = F.when(text.rlike(r"[.!?][\])\"']?\z") | (whole == ""), text).otherwise(whole)
+    return T.trim(F.regexp_replace(cut, r"(?U)\s{2,}", " "))
+
+
+def strip_title_author_preamble(para: Column, title: Column) -> Column:
+    """A paragraph without the title, and without what stands before "abstract" or, after figures or many commas, before its first sentence."""
+    head = F.lower(F.substr(para, F.lit(1), F.length(T.trim(title)))) == F.lower(T.trim(title))
+    bare = F.when((title != "") & head, F.regexp_replace(F.substr(para, F.length(T.trim(title)) + 1), r"(?U)\A\s+", "")).otherwise(para)
+    abstract, first = F.instr(F.lower(bare), "abstract "), F.regexp_instr(bare, F.lit(SENTENCE_LIKE.java))
+    before = F.substr(bare, F.lit(1), F.greatest(first - 1, F.lit(0)))
+    names = before.rlike("[0-9]") | (_count(before, ",") >= 3)
+    return F.when(abstract > 1, F.substr(bare, abstract)).when((first > 1) & names, F.substr(bare, first)).otherwise(bare)
+
+
+def cleanup(docs: DataFrame, most: int = 6) -> DataFrame:
+    """doc_id, text: the front matter as it is, a blank line, and the excerpt of the rest."""
+    body = docs.select("doc_id", T.after_front_matter(F.col("text")).alias("text"))
+    front = docs.select("doc_id", T.front_matter(F.col("text")).alias("front"))
+    text = F.when(F.col("front") == "", F.col("excerpt")).otherwise(F.concat(T.trim(F.col("front")), F.lit("\n\n"), F.col("excerpt")))
+    return front.join(excerpts(body, most), "doc_id").select("doc_id", text.alias("text"))
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, pi, para, prose, heading, metadata of each paragraph of the cleaned text."""
     rows = docs.select("doc_id", F.posexplode(T.paragraphs(T.clean(F.col("text")))).alias("pi", "para"))

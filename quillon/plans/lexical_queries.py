@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import lexicons as L
 from quillon.functions import patterns as P
-from quillon.operators import features, lexical, structure, tells, voice
+from quillon.operators import features, lexical, report, structure, tells, voice
 from quillon.plans import fixtures, sql
 from quillon.plans.queries import on_docs
 
@@ -144,21 +144,6 @@ on_docs(
 
 
 # Reports of axes that have a prior
-def _axes(docs: DataFrame, axes: dict) -> DataFrame:
-    each = [F.struct(F.lit(n).alias("axis"), c.alias("value")) for n, c in axes.items()]
-    return docs.select("doc_id", F.inline(F.array(*each)))
-
-
-def hedge_values(docs: DataFrame) -> DataFrame:
-    """doc_id, axis, value of hedges and boosters."""
-    return _axes(docs, {n.removesuffix("_rate"): c for n, c in lexical.hedge_metric(F.col("text")).items()})
-
-
-def fw_values(docs: DataFrame) -> DataFrame:
-    """doc_id, axis, value of the closed classes of words."""
-    return _axes(docs, lexical.function_words(F.col("text")))
-
-
 def _prior_report(ctes: str, values: dict[str, str], table: str) -> str:
     v = " union all ".join(f"select doc_id, '{n}' as axis, {x} as value from {table}" for n, x in values.items())
     p = ", ".join(f"('{n}', {m}::double, {s}::double, {k}::double)" for n, (m, s, k) in voice.PRIORS.items())
@@ -168,8 +153,8 @@ z as (select doc_id, axis, value, mean, (value - mean) / case when spread = 0 th
 select doc_id, axis, round(value, 6) as value, round(mean, 6) as reference_mean, round(z, 6) as z, case when z >= 0.5 then 'fewer' when z <= -0.5 then 'more' else '' end as direction from z"""
 
 
-on_docs("hedge_report", lambda d: _round(voice.prior_report(hedge_values(d))), _prior_report(f"{_S}, {_TOKENS}", {n: sql.per_1000(f"({_matches(e)})", f"len({sql.words('text')})") for n, e in (("hedge", L.HEDGE_METRIC), ("booster", L.BOOSTER_METRIC))}, "line"))
-on_docs("fw_report", lambda d: _round(voice.prior_report(fw_values(d))), _prior_report(f"{_S}, {_WORDS}", {n: sql.per_1000(_in(m), "len(w)") for n, m in _CLASSES.items()}, "w"))
+on_docs("hedge_report", lambda d: _round(voice.prior_report(report.hedge_values(d))), _prior_report(f"{_S}, {_TOKENS}", {n: sql.per_1000(f"({_matches(e)})", f"len({sql.words('text')})") for n, e in (("hedge", L.HEDGE_METRIC), ("booster", L.BOOSTER_METRIC))}, "line"))
+on_docs("fw_report", lambda d: _round(voice.prior_report(report.fw_values(d))), _prior_report(f"{_S}, {_WORDS}", {n: sql.per_1000(_in(m), "len(w)") for n, m in _CLASSES.items()}, "w"))
 
 _SYL = "len(regexp_extract_all(x, '[aeiouy]+'))"
 on_docs("readability", lambda d: _round(lexical.readability(d), 1e-9), f"""with {sql.SENTS}, s as (select doc_id, count(*) as sents from sents group by doc_id),

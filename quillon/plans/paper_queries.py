@@ -32,3 +32,16 @@ _SQL = {
 for _name, _column in {"looks_like_prose": "prose", "is_heading": "heading", "looks_like_metadata": "metadata"}.items():
     on_docs(_name, lambda d, c=_column: papers.judged(d).select("doc_id", F.col("pi").cast("long").alias("pi"), F.col(c).alias("value")), f"with {_CLEANED} select doc_id, pi, {_SQL[_name]} as value from p")
 on_docs("extract_prose_excerpt", papers.excerpts, None)
+
+_LINE_WORDS = "regexp_extract_all(line, '\\S+')"
+_LOW = sql.trim("line")
+on_docs(
+    "looks_like_metadata_line",
+    lambda d: d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).select("doc_id", F.col("i").cast("long").alias("i"), papers.looks_like_metadata_line(F.col("line")).alias("value")),
+    f"""with {sql.SPIKED}, l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from spiked)
+select doc_id, i, {_LOW} = '' or {' or '.join(f"starts_with(lower({_LOW}), {sql.quoted(p)})" for p in P.METADATA_PREFIXES)} or (contains(line, '@') and len(line) < 300) or {' or '.join(f"contains(lower({_LOW}), {sql.quoted(p)})" for p in papers.LINE_PHRASES)}
+  or (len(line) < 120 and {sql.has('line', papers.NAMES_LINE)} and len({_LINE_WORDS}) > 0 and len(list_filter({_LINE_WORDS}, lambda w: left(w, 1) <> lower(left(w, 1)))) >= greatest(2.0, len({_LINE_WORDS}) * 0.6) and not ends_with(line, '.')) as value from l""",
+)
+on_docs("normalize_paragraph", lambda d: papers.judged(d).select("doc_id", F.col("pi").cast("long").alias("pi"), papers.normalize_paragraph(F.col("para")).alias("value")), None)
+on_docs("strip_title_author_preamble", lambda d: d.select("doc_id", papers.strip_title_author_preamble(F.col("text"), F.lit("")).alias("value")), None)
+on_docs("cleanup_paper_markdown", papers.cleanup, None)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.functions import vectors as V
-from quillon.operators import tells, voice
+from quillon.operators import report, tells, voice
 from quillon.plans import fixtures, sql
 from quillon.plans.queries import register
 
@@ -251,3 +251,15 @@ def _sign(spark: SparkSession, d: str) -> DataFrame:
 
 
 _register("sign_test", _sign, None)
+
+
+def _voice_report(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of quality 0 against those of quality 1, as JSON."""
+    docs = fixtures.documents(spark, d)
+    labels = spark.read.parquet(f"{d}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("y"))
+    of = lambda y: docs.join(labels.where(F.col("y") == y), "doc_id", "left_semi")
+    out = report.voice_report(of(0), of(1), of(0))
+    return out.select("doc_id", *(F.to_json(c).alias(c) for c in ("direction", "markdown", "hedge", "fw")))
+
+
+_register("voice_report", _voice_report, None)

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quillon.plans import annotated_queries, lexical_queries, queries, voice_queries  # noqa: F401
+from quillon.plans import annotated_queries, lexical_queries, paper_queries, queries, voice_queries  # noqa: F401
 
 SMALL = "/root/testdata/sf0.001"
 NAMES = sorted(queries.SQL)
