@@ -31,8 +31,8 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,33 +52,52 @@ COMMON, FIRST = 10, 4
 TOGETHER = 128
 EVIDENCE = 3
 _WORD = re.compile(r"\w+")
-#: Words that a worker remembers.
-MOST = 300_000
+#: Runs of characters that a worker remembers.
+MOST = 500_000
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, *("^" + word[:k] for k in (4, 5, 6) if len(word) > k)]
+def terms_of(word: str) -> tuple[str, ...]:
+    n = len(word)
+    if n > 6:
+        return word, "^" + word[:4], "^" + word[:5], "^" + word[:6]
+    return (word, "^" + word[:4], "^" + word[:5])[: max(1, n - 3)]
 
 
 class TermIds(Remembered):
-    """A run of non-space characters, in lower case -> ids of the terms of its words that are in the vocabulary."""
+    """A run of non-space characters, in lower case -> its place in a list of the terms of its words that are in the vocabulary.
+
+    The terms stand end to end in one array of numbers, so that those of a text are taken at once.
+    """
 
     def __init__(self, vocabulary: dict[str, int]):
         super().__init__()
         self.vocabulary = vocabulary
         self.place = np.zeros(len(vocabulary), dtype=np.int64)
+        self.terms, self.start = array("q"), array("q", [0])
+
+    def clear(self) -> None:
+        super().clear()
+        self.terms, self.start = array("q"), array("q", [0])
 
-    def __missing__(self, run: str) -> tuple[int, ...]:
-        found = tuple(i for w in _WORD.findall(run) for t in terms_of(w) if (i := self.vocabulary.get(t)) is not None)
+    def __missing__(self, run: str) -> int:
+        # a run of letters and digits is a word as it is
+        self.terms.extend([i for w in ((run,) if run.isalnum() else _WORD.findall(run)) for t in terms_of(w) if (i := self.vocabulary.get(t)) is not None])
+        self.start.append(len(self.terms))
+        found = len(self.start) - 2
         if len(run) <= 64:
-            if len(self) > MOST:
-                self.clear()
             self[run] = found
         return found
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The text's different terms, and how often each occurs."""
-        ids = np.fromiter(chain.from_iterable(map(self.__getitem__, text.lower().split())), dtype=np.int64)
+        if len(self.start) > MOST or len(self.terms) > 8 * MOST:  # between texts, so that places stay good within one
+            self.clear()
+        runs = text.lower().split()
+        run = np.fromiter(map(self.__getitem__, runs), dtype=np.int64, count=len(runs))
+        start = np.frombuffer(self.start, dtype=np.int64)
+        first, n = start[run], start[run + 1] - start[run]
+        ends = np.cumsum(n)
+        ids = np.frombuffer(self.terms, dtype=np.int64)[np.repeat(first - ends + n, n) + np.arange(ends[-1])] if len(ends) and ends[-1] else np.zeros(0, dtype=np.int64)
         at = np.arange(len(ids))
         self.place[ids] = at
         last = self.place[ids]  # one place for each term
