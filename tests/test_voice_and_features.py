@@ -106,7 +106,7 @@ def test_rewrites_are_accepted_at_the_reference_threshold(spark):
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from '{small}/embeddings.parquet'")
     vectors = {r[0]: r[1] for r in con.execute("select vec_id, embedding::double[] from embeddings").fetchall()}
-    rows = queries.QUERIES["evaluate_rewrite_reference"](spark, small).collect()
+    rows = queries.QUERIES["evaluate_rewrite"](spark, small).collect()
     norm = lambda v: sum(x * x for x in v) ** 0.5
     for r in rows:
         a, b = vectors[r["id"]], vectors[r["id"] + 1]
@@ -114,5 +114,5 @@ def test_rewrites_are_accepted_at_the_reference_threshold(spark):
         assert r["accepted"] == (cosine >= 0.85 and r["after"] < r["before"])
     loose = queries.QUERIES["evaluate_rewrite"](spark, small).where("accepted").count()
     assert rows and sum(r["accepted"] for r in rows) < loose
-    expected = con.execute(f"select id, before, after, accepted from ({queries.SQL['evaluate_rewrite_reference']}) q").fetchall()
+    expected = con.execute(f"select id, before, after, accepted from ({queries.SQL['evaluate_rewrite']}) q").fetchall()
     assert sorted(tuple(r[n] for n in ("id", "before", "after", "accepted")) for r in rows) == sorted(expected)
