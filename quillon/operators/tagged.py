@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import patterns as P
 from quillon.functions import text as T
-from quillon.operators import annotate, lexical, rules
+from quillon.operators import annotate, lexical, rubric, rules
 
 #: Severity, dimension and message of each rule.
 SCHIMEL = {
@@ -42,9 +42,7 @@ def _found(rows: DataFrame, rule: str, table: dict, paragraph: Column, sentence:
 
 def _placed(found: list[DataFrame], table: dict, first: int) -> DataFrame:
     """At most ten findings of each rule in a document, in the order of their places: one shuffle for all rules."""
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.unionByName(more)
+    rows = rubric.together(*found)
     order = F.create_map(*(F.lit(x) for i, rule in enumerate(table) for x in (rule, first + i)))
     place = F.row_number().over(Window.partitionBy("doc_id", "rule").orderBy(F.asc_nulls_first("paragraph"), F.asc_nulls_first("sentence"), "span"))
     rows = rows.withColumn("place", place).where(F.col("place") <= rules.MOST)

@@ -39,7 +39,7 @@ def _slop(docs, relative=False):
 
 
 def _schimel(docs):
-    return rules.findings(docs).unionByName(tagged.findings(annotate.tokens(docs), docs))
+    return rubric.together(rules.findings(docs), tagged.findings(annotate.tokens(docs), docs))
 
 
 def _density(docs):
