@@ -13,13 +13,19 @@ from quillon.operators import lexical, structure
 DRAW = 42
 
 
-def _spread(values: Column, name: str) -> dict[str, Column]:
-    """Mean, median and population deviation of an array of numbers; null for an empty one."""
-    n, ordered = F.size(values), F.sort_array(values)
-    mean = F.aggregate(values, F.lit(0.0), lambda t, x: t + x) / F.nullif(n, F.lit(0))
-    middle = (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2.0
-    squares = F.aggregate(values, F.lit(0.0), lambda t, x: t + (x - mean) * (x - mean)) / F.nullif(n, F.lit(0))
-    return {f"{name}_mean": mean, f"{name}_median": F.when(n > 0, middle), f"{name}_std": F.sqrt(squares)}
+def _spread(rows: DataFrame, *names: str) -> DataFrame:
+    """rows with <name>_mean, <name>_median and <name>_std (population deviation) of arrays of numbers; null for an empty one.
+
+    The means are columns before the deviations read them: within the lambda they would be added up anew for each number.
+    """
+    n = {name: F.size(name) for name in names}
+    rows = rows.select("*", *((F.aggregate(name, F.lit(0.0), lambda t, x: t + x) / F.nullif(n[name], F.lit(0))).alias(f"{name}_mean") for name in names), *(F.sort_array(name).alias(f"{name}_ordered") for name in names))
+    for name in names:
+        mean, ordered = F.col(f"{name}_mean"), F.col(f"{name}_ordered")
+        middle = (F.get(ordered, F.floor((n[name] - 1) / 2).cast("int")) + F.get(ordered, F.floor(n[name] / 2).cast("int"))) / 2.0
+        squares = F.aggregate(name, F.lit(0.0), lambda t, x: t + (x - mean) * (x - mean)) / F.nullif(n[name], F.lit(0))  # noqa: B023
+        rows = rows.withColumns({f"{name}_median": F.when(n[name] > 0, middle), f"{name}_std": F.sqrt(squares)})
+    return rows
 
 
 def descriptive(docs: DataFrame) -> DataFrame:
@@ -30,14 +36,16 @@ def descriptive(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", T.every(F.lower(F.col("text")), P.Pattern(r"[\p{L}\p{N}]+")).alias("w"), F.flatten(F.transform(T.paragraphs(F.col("text")), lambda p: T.sentences(p))).alias("s"))
     rows = rows.select(
-        "doc_id", "w", F.size("s").cast("long").alias("sentences"), F.transform("w", lambda x: F.length(x)).alias("lengths"),
-        F.transform("s", lambda x: T.count(x, P.Pattern(r"[\p{L}\p{N}]+"))).alias("sizes"),
-        F.transform("w", lambda x: F.greatest(F.lit(1), F.regexp_count(x, F.lit("[aeiouy]+")))).alias("syllables"),
+        "doc_id", "w", F.size("s").cast("long").alias("sentences"), F.transform("w", lambda x: F.length(x)).alias("token_length"),
+        F.transform("s", lambda x: T.count(x, P.Pattern(r"[\p{L}\p{N}]+"))).alias("sentence_length"),
+        F.transform("w", lambda x: F.greatest(F.lit(1), F.regexp_count(x, F.lit("[aeiouy]+")))).alias("syllables_per_token"),
     )
-    n, unique = F.size("w").cast("long"), F.size(F.array_distinct("w")).cast("long")
+    lengths = ("token_length", "sentence_length", "syllables_per_token")
+    rows = _spread(rows.withColumn("unique", F.size(F.array_distinct("w")).cast("long")), *lengths)
+    n = F.size("w").cast("long")
     columns = {
-        "n_tokens": n, "n_unique_tokens": unique, "proportion_unique_tokens": unique / F.nullif(n, F.lit(0)), "n_characters": F.aggregate("lengths", F.lit(0).cast("long"), lambda t, x: t + x), "n_sentences": F.col("sentences"),
-        **_spread(F.col("lengths"), "token_length"), **_spread(F.col("sizes"), "sentence_length"), **_spread(F.col("syllables"), "syllables_per_token"),
+        "n_tokens": n, "n_unique_tokens": F.col("unique"), "proportion_unique_tokens": F.col("unique") / F.nullif(n, F.lit(0)), "n_characters": F.aggregate("token_length", F.lit(0).cast("long"), lambda t, x: t + x), "n_sentences": F.col("sentences"),
+        **{f"{name}_{of}": F.col(f"{name}_{of}") for name in lengths for of in ("mean", "median", "std")},
     }
     return rows.select("doc_id", *(c.alias(f"desc_{name}") for name, c in columns.items()))
 
