@@ -8,6 +8,7 @@ is expressions. A relation of the same schema from another tagger fits as well.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -21,12 +22,14 @@ from quillon.functions import text as T
 
 TOKEN_TYPE = "struct<text:string,lower:string,lemma:string,pos:string,tag:string>"
 SCHEMA = f"doc_id long, pi int, si int, sent string, tokens array<{TOKEN_TYPE}>"
-_ARROW = pa.list_(pa.struct([(n, pa.string()) for n in ("text", "lower", "lemma", "pos", "tag")]))
+_NAMES = ("text", "lower", "lemma", "pos", "tag")
 _TOKEN = re.compile(r"\w+(?=n't\b)|n't\b|\w+|[^\w\s]")
 _AUX = {"is": "VBZ", "are": "VBP", "was": "VBD", "were": "VBD", "be": "VB", "been": "VBN", "being": "VBG", "am": "VBP", "has": "VBZ", "have": "VBP", "had": "VBD", "do": "VBP", "does": "VBZ", "did": "VBD"}
 _MODAL = {"can", "could", "may", "might", "must", "shall", "should", "will", "would"}
 _PAST = {"made": "make", "found": "find", "said": "say", "went": "go", "kept": "keep", "held": "hold", "left": "leave", "ran": "run", "rose": "rise", "fell": "fall", "gave": "give", "took": "take", "came": "come", "got": "get", "knew": "know", "saw": "see", "sat": "sit", "met": "meet", "led": "lead", "lost": "lose", "built": "build", "began": "begin", "wrote": "write", "told": "tell", "stood": "stand"}
 _VERBS = {"run", "make", "say", "go", "keep", "hold", "leave", "rise", "fall", "give", "take", "come", "get", "know", "see", "sit", "meet", "lead", "lose", "build", "begin", "write", "tell", "stand", "claim", "lack", "fail", "show", "argue", "suggest", "report", "find", "use", "need", "want", "think", "believe", "work", "help", "hit", "stop", "win"}
+#: Words whose part of speech depends on the word after them, however they are written.
+_LOOKS_AHEAD = {"".join(w) for low in ("to", "this", "that", "these", "those") for w in itertools.product(*((c, c.upper()) for c in low))}
 _ABSTRACT = ("answer", "direction", "point", "shape", "tension", "question", "idea", "thing", "story", "truth")
 
 
@@ -55,72 +58,99 @@ def lemma(word: str, pos: str) -> str:
     return word
 
 
+#: What tag() remembers of words in their surroundings; emptied when it holds this many.
+REMEMBERED = 200_000
+_tagged: dict[tuple, tuple[str, str, str, str, str]] = {}
+
+
 def tag(words: list[str]) -> list[tuple[str, str, str, str, str]]:
-    """text, lower, lemma, pos, tag of the words of a sentence."""
+    """text, lower, lemma, pos, tag of the words of a sentence.
+
+    They depend on the word, the part of speech before it and the word after it, so most have been seen before.
+    """
     out: list[tuple[str, str, str, str, str]] = []
+    pos = fine = None
+    last = len(words) - 1
     for k, word in enumerate(words):
-        low = word.lower()
-        before = out[-1] if out else None
-        if not any(c.isalnum() for c in word) and low != "n't":
-            pos, fine = "PUNCT", word
-        elif low in _AUX:
-            pos, fine = "AUX", _AUX[low]
-        elif low in _MODAL:
-            pos, fine = "AUX", "MD"
-        elif low in ("not", "n't"):
-            pos, fine = "PART", "RB"
-        elif low in L.ARTICLES:
-            pos, fine = "DET", "DT"
-        elif low == "to" and k + 1 < len(words) and words[k + 1].lower() in _VERBS:
-            pos, fine = "PART", "TO"
-        elif low in ("this", "that", "these", "those") and k + 1 < len(words) and words[k + 1].lower() not in _AUX and words[k + 1].isalpha():
-            pos, fine = "DET", "DT"
-        elif low in L.PRONOUNS:
-            pos, fine = "PRON", "PRP"
-        elif low in ("my", "your", "his", "her", "its", "our", "their", "no", "some", "any", "all", "every", "each"):
-            pos, fine = "DET", "DT"
-        elif low in ("and", "or", "but", "nor", "yet"):
-            pos, fine = "CCONJ", "CC"
-        elif low in L.CONJUNCTIONS:
-            pos, fine = "SCONJ", "IN"
-        elif low in L.PREPOSITIONS:
-            pos, fine = "ADP", "IN"
-        elif word[0].isdigit():
-            pos, fine = "NUM", "CD"
-        elif low in _PAST:
-            pos, fine = "VERB", "VBN" if before and before[3] == "AUX" and before[4] != "MD" else "VBD"
-        elif word[0].isupper() and k and word.isalpha():
-            pos, fine = "PROPN", "NNP"
-        elif low.endswith("ly") and len(low) > 4:
-            pos, fine = "ADV", "RB"
-        elif low.endswith("ing") and len(low) > 5:
-            noun = before is not None and before[3] in ("DET", "ADJ")
-            pos, fine = ("NOUN", "NN") if noun else ("VERB", "VBG")
-        elif low.endswith("ed") and len(low) > 4:
-            pos, fine = "VERB", "VBN" if before and (before[3] == "AUX" or before[3] == "ADV") else "VBD"
-        elif low in _VERBS:
-            noun = before is not None and before[3] in ("DET", "ADJ", "ADP")
-            pos, fine = ("NOUN", "NN") if noun else ("VERB", "VB" if before is None or before[4] in ("MD", "TO", "RB") else "VBP")
-        elif low.endswith("s") and lemma(low, "VERB") in _VERBS and not (before and before[3] in ("DET", "ADJ", "ADP")):
-            pos, fine = "VERB", "VBZ"
-        elif low.endswith(("ous", "ful", "ive", "able", "ible", "ic", "al", "less")):
-            pos, fine = "ADJ", "JJ"
-        else:
-            pos, fine = "NOUN", "NN"
-        out.append((word, low, lemma(low, pos), pos, fine))
+        key = (word, pos, fine, words[k + 1] if k < last and word in _LOOKS_AHEAD else "", k < last)
+        found = _tagged.get(key)
+        if found is None:
+            if len(_tagged) >= REMEMBERED:
+                _tagged.clear()
+            found = _tagged[key] = _tag(out, words, k)
+        out.append(found)
+        pos, fine = found[3], found[4]
     return out
 
 
+def _tag(out: list[tuple[str, str, str, str, str]], words: list[str], k: int) -> tuple[str, str, str, str, str]:
+    """What tag() says of the word at k; out has the words before it."""
+    word = words[k]
+    low = word.lower()
+    before = out[-1] if out else None
+    if not any(c.isalnum() for c in word) and low != "n't":
+        pos, fine = "PUNCT", word
+    elif low in _AUX:
+        pos, fine = "AUX", _AUX[low]
+    elif low in _MODAL:
+        pos, fine = "AUX", "MD"
+    elif low in ("not", "n't"):
+        pos, fine = "PART", "RB"
+    elif low in L.ARTICLES:
+        pos, fine = "DET", "DT"
+    elif low == "to" and k + 1 < len(words) and words[k + 1].lower() in _VERBS:
+        pos, fine = "PART", "TO"
+    elif low in ("this", "that", "these", "those") and k + 1 < len(words) and words[k + 1].lower() not in _AUX and words[k + 1].isalpha():
+        pos, fine = "DET", "DT"
+    elif low in L.PRONOUNS:
+        pos, fine = "PRON", "PRP"
+    elif low in ("my", "your", "his", "her", "its", "our", "their", "no", "some", "any", "all", "every", "each"):
+        pos, fine = "DET", "DT"
+    elif low in ("and", "or", "but", "nor", "yet"):
+        pos, fine = "CCONJ", "CC"
+    elif low in L.CONJUNCTIONS:
+        pos, fine = "SCONJ", "IN"
+    elif low in L.PREPOSITIONS:
+        pos, fine = "ADP", "IN"
+    elif word[0].isdigit():
+        pos, fine = "NUM", "CD"
+    elif low in _PAST:
+        pos, fine = "VERB", "VBN" if before and before[3] == "AUX" and before[4] != "MD" else "VBD"
+    elif word[0].isupper() and k and word.isalpha():
+        pos, fine = "PROPN", "NNP"
+    elif low.endswith("ly") and len(low) > 4:
+        pos, fine = "ADV", "RB"
+    elif low.endswith("ing") and len(low) > 5:
+        noun = before is not None and before[3] in ("DET", "ADJ")
+        pos, fine = ("NOUN", "NN") if noun else ("VERB", "VBG")
+    elif low.endswith("ed") and len(low) > 4:
+        pos, fine = "VERB", "VBN" if before and (before[3] == "AUX" or before[3] == "ADV") else "VBD"
+    elif low in _VERBS:
+        noun = before is not None and before[3] in ("DET", "ADJ", "ADP")
+        pos, fine = ("NOUN", "NN") if noun else ("VERB", "VB" if before is None or before[4] in ("MD", "TO", "RB") else "VBP")
+    elif low.endswith("s") and lemma(low, "VERB") in _VERBS and not (before and before[3] in ("DET", "ADJ", "ADP")):
+        pos, fine = "VERB", "VBZ"
+    elif low.endswith(("ous", "ful", "ive", "able", "ible", "ic", "al", "less")):
+        pos, fine = "ADJ", "JJ"
+    else:
+        pos, fine = "NOUN", "NN"
+    return word, low, lemma(low, pos), pos, fine
+
+
 def tokens(docs: DataFrame) -> DataFrame:
     """doc_id, pi, si, sent, tokens: a row for each sentence."""
     paras = docs.select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("pi", "para"))
     rows = paras.select("doc_id", "pi", F.posexplode(T.sentences(F.col("para"))).alias("si", "sent"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("text", "lower", "lemma", "pos", "tag")
         for batch in batches:
-            found = [[dict(zip(names, t, strict=True)) for t in tag(_TOKEN.findall(s.as_py()))] for s in batch.column(3)]
-            yield pa.record_batch([*batch.columns, pa.array(found, _ARROW)], ["doc_id", "pi", "si", "sent", "tokens"])
+            flat, ends = [], [0]
+            for sent in batch.column(3).to_pylist():
+                flat += tag(_TOKEN.findall(sent))
+                ends.append(len(flat))
+            columns = zip(*flat, strict=True) if flat else [()] * len(_NAMES)
+            found = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], list(_NAMES))
+            yield pa.record_batch([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)], ["doc_id", "pi", "si", "sent", "tokens"])
 
     return rows.select("doc_id", "pi", "si", "sent").mapInArrow(run, SCHEMA)
 
@@ -174,45 +204,79 @@ def rhythm(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.inline(F.array(*each)))
 
 
+def trains(least: int = 3) -> Column:
+    """Runs of `least` or more nouns in a sentence."""
+    line = F.concat_ws("", F.transform("tokens", lambda t: F.when(t["pos"].isin("NOUN", "PROPN"), "n").otherwise(".")))
+    return F.regexp_count(line, F.lit(f"n{{{least},}}"))
+
+
 def noun_trains(annotated: DataFrame, least: int = 3) -> DataFrame:
     """doc_id, trains: runs of `least` or more nouns."""
-    line = F.concat_ws("", F.transform("tokens", lambda t: F.when(t["pos"].isin("NOUN", "PROPN"), "n").otherwise(".")))
-    by = annotated.select("doc_id", F.regexp_count(line, F.lit(f"n{{{least},}}")).alias("n"))
+    by = annotated.select("doc_id", trains(least).alias("n"))
     return by.groupBy("doc_id").agg(F.sum("n").alias("trains"))
 
 
-def passive_voice(annotated: DataFrame) -> DataFrame:
-    """doc_id, passives, sentences: forms of be before a participle, an adverb between them at most."""
+def passives() -> Column:
+    """Forms of be before a participle in a sentence, an adverb between them at most."""
     line = F.concat_ws("", F.transform("tokens", lambda t: F.when(t["lemma"] == "be", "b").when(t["tag"] == "VBN", "p").when(t["pos"] == "ADV", "a").otherwise(".")))
-    rows = annotated.select("doc_id", F.regexp_count(line, F.lit("ba?p")).alias("n"))
-    return rows.groupBy("doc_id").agg(F.sum("n").alias("passives"), F.count(F.lit(1)).alias("sentences")).where("passives > greatest(2, 0.2 * sentences)")
+    return F.regexp_count(line, F.lit("ba?p"))
 
 
-def defensive_claim(annotated: DataFrame) -> DataFrame:
-    """Sentences with a first person plural and a negation."""
+#: Passives of a document that are too many for its sentences.
+MANY_PASSIVES = "passives > greatest(2, 0.2 * sentences)"
+
+
+def passive_voice(annotated: DataFrame) -> DataFrame:
+    """doc_id, passives, sentences of documents with too many passives."""
+    rows = annotated.select("doc_id", passives().alias("n"))
+    return rows.groupBy("doc_id").agg(F.sum("n").alias("passives"), F.count(F.lit(1)).alias("sentences")).where(MANY_PASSIVES)
+
+
+def defends() -> Column:
+    """Whether a sentence has a first person plural and a negation."""
     forms = F.array_union(F.transform("tokens", lambda t: t["lower"]), F.transform("tokens", lambda t: t["lemma"]))
     us = F.array(*map(F.lit, ("we", "our", "us")))
     no = F.array(*map(F.lit, ("not", "no", "never", "cannot", "neither", "nor", "n't", "without", "fail", "lack")))
-    return annotated.where(F.arrays_overlap(forms, us) & F.arrays_overlap(forms, no)).select("doc_id", "pi", "si", "sent")
+    return F.arrays_overlap(forms, us) & F.arrays_overlap(forms, no)
 
 
-def verbless(annotated: DataFrame, least: int = 5) -> DataFrame:
-    """Sentences of `least` words without a finite verb, list items aside."""
+def defensive_claim(annotated: DataFrame) -> DataFrame:
+    """Sentences with a first person plural and a negation."""
+    return annotated.where(defends()).select("doc_id", "pi", "si", "sent")
+
+
+def lacks_verb(least: int = 5) -> Column:
+    """Whether a sentence of `least` words, no list item, has no finite verb."""
     finite = F.exists("tokens", lambda t: t["tag"].isin("VBP", "VBZ", "VBD", "MD") | (t["pos"] == "AUX"))
     alpha = F.size(F.filter("tokens", lambda t: t["text"].rlike(r"(?U)^\p{L}+$")))
-    return annotated.where((alpha >= least) & ~finite & ~F.col("sent").rlike(r"^(?:[-*•]|[0-9][.)])")).select("doc_id", "pi", "si", "sent")
+    return (alpha >= least) & ~finite & ~F.col("sent").rlike(r"^(?:[-*•]|[0-9][.)])")
+
+
+def verbless(annotated: DataFrame, least: int = 5) -> DataFrame:
+    """Sentences of `least` words without a finite verb, list items aside."""
+    return annotated.where(lacks_verb(least)).select("doc_id", "pi", "si", "sent")
+
+
+def splices() -> Column:
+    """Whether a sentence has a subject and its verb on both sides of a comma that no conjunction follows."""
+    line = F.concat_ws("", F.transform("tokens", lambda t: F.when(t["text"] == ",", ",").when(t["pos"].isin("CCONJ", "SCONJ"), "c").when(t["pos"].isin("PRON", "NOUN", "PROPN"), "s").when(t["tag"].isin("VBP", "VBZ", "VBD", "MD"), "v").when(t["pos"].isin("DET", "ADJ", "ADV"), "d").otherwise(".")))
+    return line.rlike(r"sd*v[^,]*,(?!c)d*s(?:d|s)*v")
 
 
 def comma_splice(annotated: DataFrame) -> DataFrame:
     """Sentences with a subject and its verb on both sides of a comma that no conjunction follows."""
-    line = F.concat_ws("", F.transform("tokens", lambda t: F.when(t["text"] == ",", ",").when(t["pos"].isin("CCONJ", "SCONJ"), "c").when(t["pos"].isin("PRON", "NOUN", "PROPN"), "s").when(t["tag"].isin("VBP", "VBZ", "VBD", "MD"), "v").when(t["pos"].isin("DET", "ADJ", "ADV"), "d").otherwise(".")))
-    return annotated.where(line.rlike(r"sd*v[^,]*,(?!c)d*s(?:d|s)*v")).select("doc_id", "pi", "si", "sent")
+    return annotated.where(splices()).select("doc_id", "pi", "si", "sent")
+
+
+def buries(gap: int = 10) -> Column:
+    """Whether a sentence's subject stands `gap` tokens or more before its verb."""
+    line = F.concat_ws("", F.transform("tokens", lambda t: F.when(t["tag"].isin("VBP", "VBZ", "VBD", "MD"), "v").when(t["pos"].isin("NOUN", "PROPN", "PRON"), "s").otherwise(".")))
+    return line.rlike(rf"^[^sv]*s[^v]{{{gap - 1},}}v")
 
 
 def buried_verb(annotated: DataFrame, gap: int = 10) -> DataFrame:
     """The first sentence of a paragraph whose subject stands `gap` tokens or more before its verb."""
-    line = F.concat_ws("", F.transform("tokens", lambda t: F.when(t["tag"].isin("VBP", "VBZ", "VBD", "MD"), "v").when(t["pos"].isin("NOUN", "PROPN", "PRON"), "s").otherwise(".")))
-    rows = annotated.where(line.rlike(rf"^[^sv]*s[^v]{{{gap - 1},}}v"))
+    rows = annotated.where(buries(gap))
     return rows.groupBy("doc_id", "pi").agg(F.min("si").alias("si"), F.min_by("sent", "si").alias("sent"))
 
 

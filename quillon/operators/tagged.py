@@ -52,20 +52,38 @@ def _placed(found: list[DataFrame], table: dict, first: int) -> DataFrame:
 def findings(annotated: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, ord, severity, dimension, rule, paragraph, sentence, span, message of the rules in SCHIMEL."""
     at, none, nothing = F.col("pi") + 1, rules.none(), F.lit("")
-    passive = annotate.passive_voice(annotated)
     leading = lexical.leading_words(docs).select("doc_id", "word", F.lit(True).alias("leads"))
     bursts = lexical.repeated(docs).join(leading, ["doc_id", "word"], "left")
     kept = F.when(F.col("leads"), F.lit(" The whole text leans on this word, so it may be meant.")).otherwise(nothing)
     rows = [
-        _found(annotate.noun_trains(annotated).where("trains > 2"), "noun_trains", SCHIMEL, none, none, nothing),
-        _found(passive, "passive_voice", SCHIMEL, none, none, nothing, F.format_string(SCHIMEL["passive_voice"][2], F.col("passives"), F.col("sentences"))),
         _found(bursts, "word_repetition", SCHIMEL, at, none, F.col("span"), F.concat(F.lit(SCHIMEL["word_repetition"][2]), kept)),
+        _marked(annotated),
     ]
-    by_sentence = {"comma_splice": annotate.comma_splice, "defensive_claim": annotate.defensive_claim, "verbless_sentence": annotate.verbless, "buried_verb_core": annotate.buried_verb}
-    rows += [_found(relation(annotated), rule, SCHIMEL, at, F.col("si") + 1, F.col("sent")) for rule, relation in by_sentence.items()]
     return _placed(rows, SCHIMEL, len(rules.TEXT_RULES))
 
 
+def _marked(annotated: DataFrame) -> DataFrame:
+    """Findings of the rules that look at one sentence's tags, not yet counted: the tags are read once, and a document's findings leave its partition together."""
+    fits = {"comma_splice": annotate.splices(), "defensive_claim": annotate.defends(), "verbless_sentence": annotate.lacks_verb(), "buried_verb_core": annotate.buries()}
+    of = F.filter(F.array(*(F.when(c, F.lit(rule)) for rule, c in fits.items())), lambda r: r.isNotNull())
+    rows = annotated.select("doc_id", F.col("pi").alias("pi"), F.col("si").alias("si"), F.substring("sent", 1, 220).alias("span"), of.alias("rules"), annotate.trains().alias("trains"), annotate.passives().alias("passives"))
+    here = F.when(F.size("rules") > 0, F.struct("rules", "pi", "si", "span"))
+    by = rows.groupBy("doc_id").agg(F.sum("trains").alias("trains"), F.sum("passives").alias("passives"), F.count(F.lit(1)).alias("sentences"), F.collect_list(here).alias("found"))
+    none = rules.none()
+    whole = lambda rule, message: F.array(F.struct(F.lit(rule).alias("rule"), none.alias("paragraph"), none.alias("sentence"), F.lit("").alias("span"), message.alias("message")))
+    nothing = F.array().cast("array<struct<rule:string,paragraph:bigint,sentence:bigint,span:string,message:string>>")
+    said = F.create_map(*(F.lit(x) for rule in fits for x in (rule, SCHIMEL[rule][2])))
+    each = F.flatten(F.transform("found", lambda f: F.transform(f["rules"], lambda r: F.struct(r.alias("rule"), (f["pi"] + 1).cast("long").alias("paragraph"), (f["si"] + 1).cast("long").alias("sentence"), f["span"].alias("span"), said[r].alias("message")))))
+    trains = F.when(F.col("trains") > 2, whole("noun_trains", F.lit(SCHIMEL["noun_trains"][2]))).otherwise(nothing)
+    passives = F.when(F.expr(annotate.MANY_PASSIVES), whole("passive_voice", F.format_string(SCHIMEL["passive_voice"][2], F.col("passives"), F.col("sentences")))).otherwise(nothing)
+    found = by.select("doc_id", F.inline(F.concat(each, trains, passives)))
+    # of a paragraph's buried verbs only the first counts
+    first = F.row_number().over(Window.partitionBy("doc_id", "rule", "paragraph").orderBy("sentence"))
+    found = found.withColumn("first", first).where((F.col("rule") != "buried_verb_core") | (F.col("first") == 1))
+    severity, dimension = (F.create_map(*(F.lit(x) for rule, meta in SCHIMEL.items() for x in (rule, meta[k])))[F.col("rule")] for k in (0, 1))
+    return found.select("doc_id", severity.alias("severity"), dimension.alias("dimension"), "rule", "paragraph", "sentence", "span", "message")
+
+
 def defined_acronyms(docs: DataFrame) -> DataFrame:
     """doc_id, word: abbreviations that stand within parentheses, and so are spelled out before."""
     inside = F.flatten(F.transform(T.every(F.col("text"), P.Pattern(r"\([^)]*\)")), lambda g: T.every(g, P.WORD)))
