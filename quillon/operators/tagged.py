@@ -24,6 +24,8 @@ SCHIMEL = {
     "verbless_sentence": ("low", "sentences", "No verb carries this sentence."),
     "buried_verb_core": ("medium", "sentences", "Ten words or more part the subject from its verb; bring them together."),
 }
+#: Frequent words that an expression may hold.
+COMMON = 20_000
 DENSITY = {
     "padding_paragraph": ("low", "density", "Fewer content words than elsewhere in the text; cut or merge."),
     "jargon_cluster": ("medium", "jargon", "Rare words crowd this sentence: %s"),
@@ -91,26 +93,36 @@ def defined_acronyms(docs: DataFrame) -> DataFrame:
 
 
 def jargon(annotated: DataFrame, docs: DataFrame, frequencies: DataFrame, rare: float = 3.0, least: int = 3) -> DataFrame:
-    """doc_id, pi, si, sent, n, words of sentences with `least` different words rarer than `rare`.
+    """doc_id, pi, si, sent (its first 220 characters), n, words of sentences with `least` different words rarer than `rare`.
 
     frequencies has a word's zipf value; a word that it lacks is as rare as can
     be. Names, abbreviations that the text defines and the words that it leans on
     don't count. Words at or above the bound are what is looked up, before
-    anything else is joined, so frequent words end there.
+    anything else is joined, so frequent words end there: within the row if there
+    are at most COMMON of them, by a join beyond that.
     """
-    words = F.filter("tokens", lambda t: (F.length(t["text"]) >= 4) & (t["pos"] != "PROPN") & t["text"].rlike(r"(?U)^\p{L}+$"))
-    rows = annotated.select("doc_id", "pi", "si", F.explode(F.array_distinct(F.transform(words, lambda t: F.struct(t["lower"].alias("word"), t["lemma"].alias("lemma"), t["text"].alias("text"))))).alias("t"))
-    rows = rows.select("doc_id", "pi", "si", "t.word", "t.lemma", "t.text")
-    rows = rows.join(frequencies.where(F.col("zipf") >= rare).select("word"), "word", "left_anti")
-    rows = rows.join(defined_acronyms(docs).withColumnRenamed("word", "text"), ["doc_id", "text"], "left_anti")
-    rows = rows.join(lexical.leading_words(docs).select("doc_id", F.col("word").alias("lemma")), ["doc_id", "lemma"], "left_anti")
-    found = rows.groupBy("doc_id", "pi", "si").agg(F.array_sort(F.collect_set("word")).alias("words")).where(F.size("words") >= least)
-    return found.join(annotated.select("doc_id", "pi", "si", "sent"), ["doc_id", "pi", "si"]).select("doc_id", "pi", "si", "sent", F.size("words").cast("long").alias("n"), "words")
+    common = frequencies.where((F.col("zipf") >= rare) & F.col("word").isNotNull()).select("word")
+    few = [r.word for r in common.limit(COMMON + 1).collect()]
+    within = len(few) <= COMMON
+    words = F.filter("tokens", lambda t: (t["pos"] != "PROPN") & (F.length(t["text"]) >= 4) & (~t["lower"].isin(*few) if within and few else F.lit(True)) & t["text"].rlike(r"(?U)^\p{L}+$"))
+    rows = annotated.select("doc_id", "pi", "si", F.substring("sent", 1, 220).alias("sent"), F.array_distinct(F.transform(words, lambda t: F.struct(t["lower"].alias("word"), t["lemma"].alias("lemma"), t["text"].alias("text")))).alias("t"))
+    rows = rows.where(F.size("t") >= least)  # spellings of one word are counted as one at the end
+    if not within:
+        kept = rows.select("doc_id", "pi", "si", F.explode("t").alias("t")).join(common, F.col("t.word") == F.col("word"), "left_anti")
+        rows = kept.groupBy("doc_id", "pi", "si").agg(F.collect_list("t").alias("t")).join(rows.drop("t"), ["doc_id", "pi", "si"])
+    # a document's exceptions are few, and come to its sentences as two arrays
+    defined = defined_acronyms(docs).groupBy("doc_id").agg(F.collect_list("word").alias("defined"))
+    leading = lexical.leading_words(docs).groupBy("doc_id").agg(F.collect_list("word").alias("leading"))
+    rows = rows.join(defined.join(leading, "doc_id", "full"), "doc_id", "left")
+    none = F.array().cast("array<string>")
+    counts = F.filter("t", lambda t: ~F.array_contains(F.coalesce("defined", none), t["text"]) & ~F.array_contains(F.coalesce("leading", none), t["lemma"]))
+    found = rows.select("doc_id", "pi", "si", "sent", F.array_sort(F.array_distinct(F.transform(counts, lambda t: t["word"]))).alias("words")).where(F.size("words") >= least)
+    return found.select("doc_id", "pi", "si", "sent", F.size("words").cast("long").alias("n"), "words")
 
 
 def density(annotated: DataFrame, docs: DataFrame, frequencies: DataFrame) -> DataFrame:
     """Findings of the density rubric: padded paragraphs, and sentences that rare words crowd."""
-    paras = rules.prose.paragraphs(docs)
+    paras = rules.prose.paragraphs(docs).select("doc_id", "pi", F.substring("para", 1, 220).alias("para"))
     padded = annotate.padding(annotated).join(paras, ["doc_id", "pi"])
     crowded = jargon(annotated, docs, frequencies)
     names = F.format_string(DENSITY["jargon_cluster"][2], F.array_join("words", ", "))
