@@ -137,11 +137,13 @@ def _tag(out: list[tuple[str, str, str, str, str]], words: list[str], k: int) ->
     return word, low, lemma(low, pos), pos, fine
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, pi, si, sent, tokens: a row for each sentence."""
+def _sentences(docs: DataFrame) -> DataFrame:
     paras = docs.select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("pi", "para"))
-    rows = paras.select("doc_id", "pi", F.posexplode(T.sentences(F.col("para"))).alias("si", "sent"))
+    return paras.select("doc_id", "pi", F.posexplode(T.sentences(F.col("para"))).alias("si", "sent"))
+
 
+def tokens(docs: DataFrame) -> DataFrame:
+    """doc_id, pi, si, sent, tokens: a row for each sentence."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, ends = [], [0]
@@ -152,7 +154,87 @@ def tokens(docs: DataFrame) -> DataFrame:
             found = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], list(_NAMES))
             yield pa.record_batch([*batch.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)], ["doc_id", "pi", "si", "sent", "tokens"])
 
-    return rows.select("doc_id", "pi", "si", "sent").mapInArrow(run, SCHEMA)
+    return _sentences(docs).mapInArrow(run, SCHEMA)
+
+
+_FINITE = {"VBP", "VBZ", "VBD", "MD"}
+_US, _NO = ("we", "our", "us"), ("not", "no", "never", "cannot", "neither", "nor", "n't", "without", "fail", "lack")
+_ITEM = r"^(?:[-*•]|[0-9][.)])"
+#: Patterns over lines of a letter for each token; the same in Java and in Python.
+_TRAIN, _PASSIVE, _SPLICE, _BURIED = "n{%d,}", "ba?p", r"sd*v[^,]*,(?!c)d*s(?:d|s)*v", "^[^sv]*s[^v]{%d,}v"
+
+
+def _letters(token: tuple[str, str, str, str, str]) -> tuple:
+    """What the rules of one sentence read of a token: its letter in the lines of trains, passives, splices and buried verbs; whether it is one of us, a negation, a finite verb, letters."""
+    text, lower, lemma, pos, tag = token
+    noun, finite = pos in ("NOUN", "PROPN"), tag in _FINITE
+    return (
+        "n" if noun else ".",
+        "b" if lemma == "be" else "p" if tag == "VBN" else "a" if pos == "ADV" else ".",
+        "," if text == "," else "c" if pos in ("CCONJ", "SCONJ") else "s" if noun or pos == "PRON" else "v" if finite else "d" if pos in ("DET", "ADJ", "ADV") else ".",
+        "v" if finite else "s" if noun or pos == "PRON" else ".",
+        lower in _US or lemma in _US, lower in _NO or lemma in _NO, finite or pos == "AUX", text.isalpha(),
+    )
+
+
+class _Codes(dict):
+    """A token -> a character for what the rules read of it; a character's four letters are in `lines`, the characters that have a flag in `having`."""
+
+    def __init__(self):
+        super().__init__()
+        self.code: dict[tuple, str] = {}
+        self.lines: tuple[dict[int, str], ...] = ({}, {}, {}, {})
+        self.having: tuple[set[str], ...] = (set(), set(), set(), set())
+
+    def __missing__(self, token: tuple[str, str, str, str, str]) -> str:
+        said = _letters(token)
+        code = self.code.get(said)
+        if code is None:
+            code = self.code[said] = chr(33 + len(self.code))
+            for line, letter in zip(self.lines, said[:4], strict=True):
+                line[ord(code)] = letter
+            for having, flag in zip(self.having, said[4:], strict=True):
+                if flag:
+                    having.add(code)
+        if len(self) >= 2 * REMEMBERED:
+            self.clear()
+        self[token] = code
+        return code
+
+
+_codes = _Codes()
+#: The rules of `marks` that a sentence may break, in the order in which it names them.
+MARKED = ("comma_splice", "defensive_claim", "verbless_sentence", "buried_verb_core")
+MARKS = "doc_id long, pi int, si int, span string, rules array<string>, trains int, passives int"
+
+
+def marks(docs: DataFrame) -> DataFrame:
+    """doc_id, pi, si, span, rules, trains, passives of each sentence: what `marks_of` reads of `tokens`, made where they are tagged, so that no token is sent to the JVM."""
+    splice, buried, train, passive, item = (re.compile(x) for x in (_SPLICE, _BURIED % 9, _TRAIN % 3, _PASSIVE, _ITEM))
+
+    def read(sent: str) -> tuple[list[str], int, int]:
+        code = "".join(map(_codes.__getitem__, tag(_TOKEN.findall(sent))))
+        (nouns, verbs, clauses, places), (us, no, finite, alpha) = (code.translate(x) for x in _codes.lines), _codes.having
+        has = set(code)
+        lacks = has.isdisjoint(finite) and sum(c in alpha for c in code) >= 5 and not item.match(sent)
+        fits = ("," in clauses and splice.search(clauses) is not None, not has.isdisjoint(us) and not has.isdisjoint(no), lacks, len(places) > 9 and buried.match(places) is not None)
+        return [r for r, fit in zip(MARKED, fits, strict=True) if fit], len(train.findall(nouns)), len(passive.findall(verbs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(map(read, batch.column(3).to_pylist()))
+            rules, trains, passives = zip(*found, strict=True) if found else ((), (), ())
+            kept = [sent[:220] if broken else "" for sent, broken in zip(batch.column(3).to_pylist(), rules, strict=True)]
+            yield pa.record_batch([*batch.columns[:3], pa.array(kept, pa.string()), pa.array(rules, pa.list_(pa.string())), pa.array(trains, pa.int32()), pa.array(passives, pa.int32())], ["doc_id", "pi", "si", "span", "rules", "trains", "passives"])
+
+    return _sentences(docs).mapInArrow(run, MARKS)
+
+
+def marks_of(annotated: DataFrame) -> DataFrame:
+    """The same of a relation of tokens, whichever tagger made it; a span is empty where no rule is broken."""
+    of = F.filter(F.array(*(F.when(c, F.lit(rule)) for rule, c in zip(MARKED, (splices(), defends(), lacks_verb(), buries()), strict=True))), lambda r: r.isNotNull())
+    rows = annotated.select("doc_id", "pi", "si", "sent", of.alias("rules"), trains().alias("trains"), passives().alias("passives"))
+    return rows.select("doc_id", "pi", "si", F.when(F.size("rules") > 0, F.substring("sent", 1, 220)).otherwise("").alias("span"), "rules", "trains", "passives")
 
 
 def _is(field: str, *values: str):
@@ -207,7 +289,7 @@ def rhythm(docs: DataFrame) -> DataFrame:
 def trains(least: int = 3) -> Column:
     """Runs of `least` or more nouns in a sentence."""
     line = F.concat_ws("", F.transform("tokens", lambda t: F.when(t["pos"].isin("NOUN", "PROPN"), "n").otherwise(".")))
-    return F.regexp_count(line, F.lit(f"n{{{least},}}"))
+    return F.regexp_count(line, F.lit(_TRAIN % least))
 
 
 def noun_trains(annotated: DataFrame, least: int = 3) -> DataFrame:
@@ -219,7 +301,7 @@ def noun_trains(annotated: DataFrame, least: int = 3) -> DataFrame:
 def passives() -> Column:
     """Forms of be before a participle in a sentence, an adverb between them at most."""
     line = F.concat_ws("", F.transform("tokens", lambda t: F.when(t["lemma"] == "be", "b").when(t["tag"] == "VBN", "p").when(t["pos"] == "ADV", "a").otherwise(".")))
-    return F.regexp_count(line, F.lit("ba?p"))
+    return F.regexp_count(line, F.lit(_PASSIVE))
 
 
 #: Passives of a document that are too many for its sentences.
@@ -235,8 +317,8 @@ def passive_voice(annotated: DataFrame) -> DataFrame:
 def defends() -> Column:
     """Whether a sentence has a first person plural and a negation."""
     forms = F.array_union(F.transform("tokens", lambda t: t["lower"]), F.transform("tokens", lambda t: t["lemma"]))
-    us = F.array(*map(F.lit, ("we", "our", "us")))
-    no = F.array(*map(F.lit, ("not", "no", "never", "cannot", "neither", "nor", "n't", "without", "fail", "lack")))
+    us = F.array(*map(F.lit, _US))
+    no = F.array(*map(F.lit, _NO))
     return F.arrays_overlap(forms, us) & F.arrays_overlap(forms, no)
 
 
@@ -249,7 +331,7 @@ def lacks_verb(least: int = 5) -> Column:
     """Whether a sentence of `least` words, no list item, has no finite verb."""
     finite = F.exists("tokens", lambda t: t["tag"].isin("VBP", "VBZ", "VBD", "MD") | (t["pos"] == "AUX"))
     alpha = F.size(F.filter("tokens", lambda t: t["text"].rlike(r"(?U)^\p{L}+$")))
-    return (alpha >= least) & ~finite & ~F.col("sent").rlike(r"^(?:[-*•]|[0-9][.)])")
+    return (alpha >= least) & ~finite & ~F.col("sent").rlike(_ITEM)
 
 
 def verbless(annotated: DataFrame, least: int = 5) -> DataFrame:
@@ -260,7 +342,7 @@ def verbless(annotated: DataFrame, least: int = 5) -> DataFrame:
 def splices() -> Column:
     """Whether a sentence has a subject and its verb on both sides of a comma that no conjunction follows."""
     line = F.concat_ws("", F.transform("tokens", lambda t: F.when(t["text"] == ",", ",").when(t["pos"].isin("CCONJ", "SCONJ"), "c").when(t["pos"].isin("PRON", "NOUN", "PROPN"), "s").when(t["tag"].isin("VBP", "VBZ", "VBD", "MD"), "v").when(t["pos"].isin("DET", "ADJ", "ADV"), "d").otherwise(".")))
-    return line.rlike(r"sd*v[^,]*,(?!c)d*s(?:d|s)*v")
+    return line.rlike(_SPLICE)
 
 
 def comma_splice(annotated: DataFrame) -> DataFrame:
@@ -271,7 +353,7 @@ def comma_splice(annotated: DataFrame) -> DataFrame:
 def buries(gap: int = 10) -> Column:
     """Whether a sentence's subject stands `gap` tokens or more before its verb."""
     line = F.concat_ws("", F.transform("tokens", lambda t: F.when(t["tag"].isin("VBP", "VBZ", "VBD", "MD"), "v").when(t["pos"].isin("NOUN", "PROPN", "PRON"), "s").otherwise(".")))
-    return line.rlike(rf"^[^sv]*s[^v]{{{gap - 1},}}v")
+    return line.rlike(_BURIED % (gap - 1))
 
 
 def buried_verb(annotated: DataFrame, gap: int = 10) -> DataFrame:

@@ -51,24 +51,25 @@ def _placed(found: list[DataFrame], table: dict, first: int) -> DataFrame:
     return rows.select("doc_id", (order[F.col("rule")] * 1000 + F.col("place")).alias("ord"), "severity", "dimension", "rule", "paragraph", "sentence", "span", "message")
 
 
-def findings(annotated: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, ord, severity, dimension, rule, paragraph, sentence, span, message of the rules in SCHIMEL."""
+def findings(annotated: DataFrame | None, docs: DataFrame) -> DataFrame:
+    """doc_id, ord, severity, dimension, rule, paragraph, sentence, span, message of the rules in SCHIMEL.
+
+    Without a relation of tokens the rule tagger's are taken, whose marks are made where it tags.
+    """
     at, none, nothing = F.col("pi") + 1, rules.none(), F.lit("")
     leading = lexical.leading_words(docs).select("doc_id", "word", F.lit(True).alias("leads"))
     bursts = lexical.repeated(docs).join(leading, ["doc_id", "word"], "left")
     kept = F.when(F.col("leads"), F.lit(" The whole text leans on this word, so it may be meant.")).otherwise(nothing)
     rows = [
         _found(bursts, "word_repetition", SCHIMEL, at, none, F.col("span"), F.concat(F.lit(SCHIMEL["word_repetition"][2]), kept)),
-        _marked(annotated),
+        _marked(annotate.marks(docs) if annotated is None else annotate.marks_of(annotated)),
     ]
     return _placed(rows, SCHIMEL, len(rules.TEXT_RULES))
 
 
-def _marked(annotated: DataFrame) -> DataFrame:
-    """Findings of the rules that look at one sentence's tags, not yet counted: the tags are read once, and a document's findings leave its partition together."""
-    fits = {"comma_splice": annotate.splices(), "defensive_claim": annotate.defends(), "verbless_sentence": annotate.lacks_verb(), "buried_verb_core": annotate.buries()}
-    of = F.filter(F.array(*(F.when(c, F.lit(rule)) for rule, c in fits.items())), lambda r: r.isNotNull())
-    rows = annotated.select("doc_id", F.col("pi").alias("pi"), F.col("si").alias("si"), F.substring("sent", 1, 220).alias("span"), of.alias("rules"), annotate.trains().alias("trains"), annotate.passives().alias("passives"))
+def _marked(rows: DataFrame) -> DataFrame:
+    """Findings of the rules that look at one sentence's tags, not yet counted, from its marks: a document's findings leave its partition together."""
+    fits = annotate.MARKED
     here = F.when(F.size("rules") > 0, F.struct("rules", "pi", "si", "span"))
     by = rows.groupBy("doc_id").agg(F.sum("trains").alias("trains"), F.sum("passives").alias("passives"), F.count(F.lit(1)).alias("sentences"), F.collect_list(here).alias("found"))
     none = rules.none()

@@ -39,7 +39,7 @@ def _slop(docs, relative=False):
 
 
 def _schimel(docs):
-    return rubric.together(rules.findings(docs), tagged.findings(annotate.tokens(docs), docs))
+    return rubric.together(rules.findings(docs), tagged.findings(None, docs))
 
 
 def _density(docs):
@@ -50,7 +50,7 @@ on_docs("concreteness_report", _concreteness, None)
 on_docs("slop_whole_findings", _slop, None)
 on_docs("slop_whole_result", lambda d: rubric.result(d, _slop(d), rubric.SLOP), None)
 on_docs("slop_whole_relative_result", lambda d: rubric.result(d, _slop(d, True), rubric.SLOP), None)
-on_docs("schimel_tagged_findings", lambda d: tagged.findings(annotate.tokens(d), d), None)
+on_docs("schimel_tagged_findings", lambda d: tagged.findings(None, d), None)
 on_docs("schimel_whole_result", lambda d: rubric.result(d, _schimel(d), rubric.SCHIMEL), None)
 on_docs("density_findings", _density, None)
 on_docs("density_result", lambda d: rubric.result(d, _density(d), rubric.DENSITY), None)
